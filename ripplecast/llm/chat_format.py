@@ -50,7 +50,7 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 
 def with_prefix(turns: DataFrame, budget: int) -> DataFrame:
     """Adds tokens, before (tokens of earlier turns) and win."""
-    rows = turns.withColumns({"tokens": (F.regexp_count("text", F.lit(r"\S+")) + TURN_TOKENS).cast("long"), "cell": F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / F.lit(CELL))})
+    rows = turns.withColumns({"tokens": (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + TURN_TOKENS).cast("long"), "cell": F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / F.lit(CELL))})
     inside = Window.partitionBy("conv_id", "cell").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy("conv_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("conv_id", "cell").agg(F.sum("tokens").alias("shift")).withColumn("shift", F.coalesce(F.sum("shift").over(across), F.lit(0)))
@@ -70,7 +70,8 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     # The window's last turns are history for the window that starts where it stops.
     near = F.filter("own", lambda t: t["before"] >= F.col("stop") - F.lit(history))
     none = F.array().cast(own.schema["own"].dataType)
-    sent = own.select("conv_id", F.explode(F.array(F.struct(F.col("win").alias("win"), F.col("own").alias("own"), none.alias("past")), F.struct(F.floor(F.col("stop") / F.lit(budget)).alias("win"), none.alias("own"), near.alias("past")))).alias("x")).select("conv_id", "x.*")
+    sent = own.select("conv_id", F.col("win").alias("from"), F.explode(F.array(F.struct(F.col("win").alias("win"), F.col("own").alias("own"), none.alias("past")), F.struct(F.floor(F.col("stop") / F.lit(budget)).alias("win"), none.alias("own"), near.alias("past")))).alias("x")).select("conv_id", "from", "x.*")
+    sent = sent.where((F.size("own") > 0) | (F.col("win") > F.col("from")))
     met = sent.groupBy("conv_id", "win").agg(F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("past")).alias("past")).where(F.size("own") > 0)
     system = turns_of(conversations).groupBy("conv_id").agg(F.min(F.struct(*ORDER)).alias("first")).where(F.col("first.role") == SYSTEM)
     system = system.select(F.col("conv_id").alias("_conv"), F.col("first.role").alias("role"), F.col("first.text").alias("text"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplecast.llm import brown_lm, chat_format, decontaminate, hilbert_ann, kd_shard, mixing, quality_knn, secret_scan, simhash_dedup, toxicity
+from ripplecast.llm import sql
 from ripplecast.llm.common import table
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -59,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_secret_scan": sql.secrets(), "op8_winnow_decontaminate": sql.leaks(), "op9_mix_sources": sql.mixing(), "op10_chat_windows": sql.chat(PROBE)}
