@@ -172,12 +172,25 @@ class Model:
         return logs, len(words) - len(rest) + self.end_known, moves, Counter(others)
 
 
+def known_from(counts: DataFrame) -> int:
+    """The least count that at most KNOWN words reach; from a histogram by steps of a 32nd of a power of two."""
+    step = F.floor(F.log2("n") * 32)
+    bins = counts.groupBy(step.alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
+    out, words = 1 << 62, 0
+    for r in bins:
+        words += r["words"]
+        if words > KNOWN:
+            break
+        out = int(r["least"])
+    return out
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
     """The model, the count table, and N and V of the training text."""
     counts = scratch(count_words(docs))
     whole = counts.agg(F.sum("n"), F.count("*")).first()
     total, vocabulary = int(whole[0] or 0), int(whole[1])
-    known = [(bytes(r[0]), int(r[1])) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    known = sorted(((bytes(r[0]), int(r[1])) for r in counts.where(F.col("n") >= known_from(counts)).collect()), key=lambda x: (-x[1], x[0]))
     known_end = dict(known).get(END)
     if known_end is None and total:  # the end is always known, whatever its rank
         known.append((END, int(counts.where(F.col("word") == F.lit(END)).first()[1])))
