@@ -75,6 +75,18 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return np.stack(kinds, axis=1) if len(starts) else np.zeros((0, 1 + len(PREFIXES) + len(SUFFIXES)), np.int32), starts, ends, owner
 
 
+def parts(texts: list[bytes], most_bytes: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about most_bytes, each with the number of its first."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > most_bytes:
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(t) + 1
+    if texts:
+        yield first, texts[first:]
+
+
 def in_spans(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Row and column of each token in a table of sequences of SPAN tokens of one document."""
     n = len(owner)
@@ -154,9 +166,16 @@ class CRF:
 
 def token_labels(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(kinds, owner, toxic) of the sample's tokens; see the module's docstring."""
-    kinds, _, _, owner = tokens_of(texts)
+    all_kinds, all_owners, all_pairs = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, some in parts(texts):
+        kinds, _, _, owner = tokens_of(some)
+        all_kinds.append(kinds)
+        all_owners.append(owner + first)
+        all_pairs.append(np.unique(((owner + first)[:, None] << HASH_BITS) | kinds))
+    kinds = np.concatenate(all_kinds) if all_kinds else np.zeros((0, 1 + len(PREFIXES) + len(SUFFIXES)), np.int32)
+    owner, coded = np.concatenate(all_owners), np.concatenate(all_pairs)
+    pairs = np.stack((coded >> HASH_BITS, coded & ((1 << HASH_BITS) - 1)), axis=1)
     toxic_docs, clean_docs = defaultdict(set), Counter()
-    pairs = np.unique(np.stack((np.repeat(owner, kinds.shape[1]), kinds.ravel()), axis=1), axis=0) if len(owner) else np.zeros((0, 2), int)
     of_toxic = labels[pairs[:, 0]] == 1
     for f, n in zip(*np.unique(pairs[~of_toxic, 1], return_counts=True)):
         clean_docs[int(f)] = int(n)
@@ -225,7 +244,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> CRF:
         m = m + 0.2 * grads[2] / np.sqrt(sums[2])
     model.moves, model.bias = m, float(b)
     model.weights[seen] = w
-    x, y = model.summary(texts), labels.astype(float)
+    x, y = np.concatenate([model.summary(some) for _, some in parts(texts)]), labels.astype(float)
     c = np.zeros(3)
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
