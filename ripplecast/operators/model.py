@@ -90,6 +90,19 @@ def community_strength(eta_: DataFrame, theta_: DataFrame) -> DataFrame:
     return eta_.join(theta_.toDF("c", "z", "t"), "c").select("cp", "c", "z", (F.col("p") * F.col("t")).alias("p"))
 
 
+def user_to_user(edges: DataFrame, pi_: DataFrame, eta_: DataFrame, theta_: DataFrame) -> DataFrame:
+    """(u, v, z, p): the double sum over both ends' communities, for every edge and topic."""
+    strength = community_strength(eta_, theta_)
+    source = edges.join(pi_.toDF("u", "cp", "a"), "u").join(strength.withColumnRenamed("p", "s"), "cp").groupBy("u", "v", "c", "z").agg(F.sum(F.col("a") * F.col("s")).alias("s"))
+    return source.join(pi_.toDF("v", "c", "b"), ["v", "c"]).groupBy("u", "v", "z").agg(F.sum(F.col("s") * F.col("b")).alias("p"))
+
+
+def user_to_user_item(topic_wise: DataFrame, phi_: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, u, v, p): topic-wise strengths averaged over an item's topics."""
+    topics = phi_.join(items.select(F.col("item").alias("i")), "i", "left_semi").toDF("item", "z", "t")
+    return topic_wise.join(F.broadcast(topics), "z").groupBy("item", "u", "v").agg(F.sum(F.col("p") * F.col("t")).alias("p"))
+
+
 def vector(rows: DataFrame, key: str, at: str) -> DataFrame:
     """(key, p array) in order of at."""
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, "p"))), lambda x: x["p"]).alias("p"))

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecast.functions.randomness import u01, u01_sql
-from ripplecast.operators import graph, logs, model, spread
+from ripplecast import harness
+from ripplecast.operators import air, cascade, communities, gibbs, graph, logs, model, spread, subsample
 from ripplecast.plans import derived as d
 from ripplecast.plans.derived import C, DELTA, Z, sql
+from ripplecast.sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -304,3 +306,167 @@ def noisy_or(s, p):
 @query()
 def community_seeds(s, p):
     return spread.select_seeds(hash_weights(s, p), labels5(s, p), 0.1, 10)
+
+
+@query("SELECT u, v, z, round(sum(a*s*b),9) AS p FROM (SELECT e.u, e.v, t.z, x.p AS a, eta.p*t.p AS s, y.p AS b FROM edge e JOIN pi x ON x.v=e.u JOIN eta ON eta.cp=x.c JOIN theta t ON t.c=eta.c JOIN pi y ON y.v=e.v AND y.c=eta.c) GROUP BY u, v, z")
+def user_to_user_topic(s, p):
+    m = fitted(s, p)
+    return model.user_to_user(m["edges"], m["pi"], m["eta"], m["theta"]).select("u", "v", "z", *rounded("p", digits=9))
+
+
+@query("SELECT item, u, v, round(raw,8) AS p FROM pp")
+def edge_weights_naive(s, p):
+    m = fitted(s, p)
+    tops = logs.top_items(d.adoptions(s, p), 3).select(F.col("i").alias("item"))
+    return model.user_to_user_item(model.user_to_user(m["edges"], m["pi"], m["eta"], m["theta"]), m["phi"], tops).select("item", "u", "v", *rounded("p", digits=8))
+
+
+def dense_tokens(s: SparkSession, p: str) -> DataFrame:
+    tok = d.tokens(s, p)
+    return tok.join(F.broadcast(d.attributes(tok)), "label").select("i", "pos", "w", "z")
+
+
+@query(f"""SELECT i, pos, w, CAST(least(count(*) FILTER (cum<=r*total), {Z - 1}) AS INT) AS z FROM (
+ SELECT *, sum(q) OVER (PARTITION BY i, pos ORDER BY k) AS cum, sum(q) OVER (PARTITION BY i, pos) AS total, {u01_sql('21', '1', 'i', 'pos')} AS r FROM (
+  SELECT x.i, x.pos, x.w, zs.z AS k, (coalesce(iz.n,0)-own+omega)*(coalesce(zw.n,0)-own+beta)/(nz.n-own+f*beta) AS q
+  FROM (SELECT *, (SELECT count(*) FROM attr) AS f FROM tok JOIN attr USING (label)) x CROSS JOIN zs CROSS JOIN hyp CROSS JOIN LATERAL (SELECT CAST(x.z=zs.z AS INT) AS own) o
+  LEFT JOIN (SELECT i, z, count(*) AS n FROM tok GROUP BY i, z) iz ON iz.i=x.i AND iz.z=zs.z LEFT JOIN (SELECT w, z, count(*) AS n FROM tok JOIN attr USING (label) GROUP BY w, z) zw ON zw.w=x.w AND zw.z=zs.z
+  JOIN (SELECT z, count(*) AS n FROM tok GROUP BY z) nz ON nz.z=zs.z)) GROUP BY i, pos, w""")
+def gibbs_topic_sweep(s, p):
+    tok = dense_tokens(s, p)
+    return gibbs.topic_sweep(tok, tok.select("w").distinct().count(), hyper(s, p), 21, 1)
+
+
+@query()
+def gibbs_communities(s, p):
+    """Sizes of the community pairs after three exact sweeps."""
+    m = fitted(s, p)
+    ev = gibbs.sample_communities(m["edges"], d_logs(s, p), m["phi"], m["h"], 3, 22)
+    return ev.groupBy("kind", "cp", "c").agg(F.count("*").alias("n"))
+
+
+@query()
+def train_model(s, p):
+    """The largest community of each user by a model of five topic and three community sweeps."""
+    tok = dense_tokens(s, p).drop("z")
+    n = tok.select("w").distinct().count()
+    found = gibbs.train(d.users(s, p), tok.select("i").distinct(), tok, d.edges(s, p), d_logs(s, p), n, C, Z, 5, 3, 23, exact=False)
+    return model.detect_communities(found.pi)
+
+
+TRIALS = "neg AS (SELECT a.u, e.v, a.i FROM adopt a JOIN edge e USING (u) WHERE a.i IN (SELECT i FROM logs) EXCEPT SELECT u, v, i FROM logs), tr AS (SELECT DISTINCT u, v, i, 1 AS y FROM logs UNION ALL SELECT u, v, i, 0 FROM neg)"
+
+
+@query(f"SELECT u, v, i, y FROM (WITH {TRIALS} SELECT * FROM tr)")
+def air_trials(s, p):
+    return air.trials(d.adoptions(s, p), d.edges(s, p), d_logs(s, p))
+
+
+def em_sql(key: str, num: str) -> str:
+    return f"SELECT '{key}' AS side, {key} AS id, z, round(least(greatest((sum({num})+0.5)/(sum(r)+2.0),1e-9),1-1e-9),9) AS p FROM em GROUP BY {key}, z"
+
+
+@query(f"""SELECT * FROM (WITH {TRIALS}, g0 AS (SELECT i, z, 0.5+{u01_sql('31', "'g'", 'i', 'z')} AS g FROM (SELECT DISTINCT i FROM tr), zs),
+ g1 AS (SELECT i, z, g/sum(g) OVER (PARTITION BY i) AS g FROM g0),
+ w0 AS (SELECT *, 0.25*(0.5+{u01_sql('31', "'a'", 'u', 'z')}) AS a, 0.25*(0.5+{u01_sql('31', "'b'", 'v', 'z')}) AS b FROM tr JOIN g1 USING (i)),
+ w1 AS (SELECT *, CASE WHEN y=1 THEN g*a*b ELSE g*(1-a*b) END AS w FROM w0), em0 AS (SELECT *, w/sum(w) OVER (PARTITION BY u, v, i) AS r FROM w1),
+ em AS (SELECT *, CASE WHEN y=1 THEN r ELSE r*a*(1-b)/(1-a*b) END AS na, CASE WHEN y=1 THEN r ELSE r*b*(1-a)/(1-a*b) END AS nb FROM em0)
+ {em_sql('u', 'na')} UNION ALL {em_sql('v', 'nb')} UNION ALL SELECT 'i', i, z, round((sum(r)+0.5)/sum(sum(r)+0.5) OVER (PARTITION BY i),9) FROM em GROUP BY i, z)""")
+def air_em_step(s, p):
+    tr = graph.stable(air.trials(d.adoptions(s, p), d.edges(s, p), d_logs(s, p)))
+    A, I, gamma = air.em_step(tr, *air.initial(tr, Z, 31))  # noqa: E741
+    one = lambda df, side: df.select(F.lit(side).alias("side"), F.col(side).alias("id"), "z", *rounded("p", digits=9))
+    return one(A, "u").union(one(I, "v")).union(one(gamma, "i"))
+
+
+def air_fit(s: SparkSession, p: str) -> DataFrame:
+    A, I, gamma, _ = air.fit(air.trials(d.adoptions(s, p), d.edges(s, p), d_logs(s, p)), Z, 5, 31)  # noqa: E741
+    tops = logs.top_items(d.adoptions(s, p), 1).select(F.col("i").alias("item"))
+    return air.edge_weights(d.edges(s, p), tops, A, I, gamma, Z).select("u", "v", "pp")
+
+
+@query(f"""SELECT u, v, round(least(greatest(raw*(avg(base) OVER ()/avg(raw) OVER ()),0),1),9) AS pp FROM (SELECT w.u, w.v, w.pp AS base, w.pp*x.influence/m.mi*y.conformity/m.mc AS raw FROM (WITH {RING_PP} SELECT * FROM w) w
+ JOIN prof x ON x.u=w.u JOIN prof y ON y.u=w.v CROSS JOIN (SELECT avg(influence) AS mi, avg(conformity) AS mc FROM prof) m)""".replace("prof", "(SELECT u, (nf+5.0*gf)/(na+5.0) AS conformity, (ns+5.0*gi)/(na*dg+5.0) AS influence FROM (SELECT *, sum(nf) OVER ()/sum(na) OVER () AS gf, sum(ns) OVER ()/sum(na*dg) OVER () AS gi FROM (SELECT users.u, coalesce(nf,0) AS nf, coalesce(na,0) AS na, coalesce(ns,0) AS ns, coalesce(dg,0) AS dg FROM users LEFT JOIN (SELECT v AS u, count(DISTINCT i) AS nf FROM logs GROUP BY v) USING (u) LEFT JOIN (SELECT u, count(*) AS ns FROM logs GROUP BY u) USING (u) LEFT JOIN (SELECT u, count(*) AS na FROM adopt GROUP BY u) USING (u) LEFT JOIN (SELECT u, count(*) AS dg FROM edge GROUP BY u) USING (u))))"))
+def conformity_pp(s, p):
+    profile = logs.conformity(d.adoptions(s, p), d.edges(s, p), d.users(s, p), DELTA, 5.0)
+    return cascade.conformity_pp(hash_weights(s, p), profile).select("u", "v", *rounded("pp", digits=9))
+
+
+@query(f"""SELECT count(*)/20.0::DOUBLE AS spread FROM (WITH RECURSIVE {RING_PP}, reach(sim, u) AS (SELECT CAST(k AS INT), u FROM (SELECT u FROM users ORDER BY u LIMIT 10), range(20) r(k)
+ UNION SELECT sim, w.v FROM reach JOIN w USING (u) WHERE {u01_sql('41', 'sim', 'w.u', 'w.v')}<pp) SELECT * FROM reach)""")
+def mc_ic_spread(s, p):
+    return cascade.ic_spread(hash_weights(s, p), d.users(s, p).orderBy("u").limit(10), 20, 41)
+
+
+@query()
+def greedy_seeds(s, p):
+    return cascade.monte_carlo_greedy(hash_weights(s, p), d.users(s, p), 5, 10, 42)
+
+
+@query()
+def cga_seeds(s, p):
+    return cascade.select_cga(hash_weights(s, p), labels5(s, p), 10, 20, 43)
+
+
+@query()
+def cinema_seeds(s, p):
+    profile = logs.conformity(d.adoptions(s, p), d.edges(s, p), d.users(s, p), DELTA, 5.0)
+    w = graph.stable(cascade.conformity_pp(hash_weights(s, p), profile))
+    return cascade.select_cinema(w, communities.exact(d.edges(s, p), d.users(s, p), C), 10, 20, 44)
+
+
+@query()
+def air_cga_seeds(s, p):
+    return cascade.select_cga(graph.stable(air_fit(s, p)), communities.exact(d.edges(s, p), d.users(s, p), C), 10, 20, 45)
+
+
+@query()
+def ctim_cga_seeds(s, p):
+    m = fitted(s, p)
+    w = graph.stable(weights(s, p, m).groupBy("u", "v").agg(F.max("pp").alias("pp")))
+    return cascade.select_cga(w, model.detect_communities(m["pi"]).toDF("u", "c"), 10, 20, 46)
+
+
+@query()
+def modularity_communities(s, p):
+    return communities.exact(d.edges(s, p), d.users(s, p))
+
+
+@query()
+def modularity_communities_parallel(s, p):
+    return communities.parallel(d.edges(s, p), d.users(s, p))
+
+
+@query()
+def dense_core(s, p):
+    n = d.users(s, p).count()
+    return subsample.dense_core(d.edges(s, p), logs.activity(d.adoptions(s, p)), n // 3)
+
+
+@query()
+def thin_arcs(s, p):
+    return subsample.thin(d.edges(s, p), logs.activity(d.adoptions(s, p)), 3 * d.users(s, p).count())
+
+
+@query()
+def synthetic_dataset(s, p):
+    """Adopters of each item of a generated dataset of as many users as there are customers."""
+    n = d.users(s, p).count()
+    ds = synthetic.generate(s, n, 5 * n, 50, 40, C, Z, 51)
+    return ds.adoptions.groupBy("i").agg(F.count("*").alias("adopters"))
+
+
+@query()
+def model_diagnostics(s, p):
+    m = fitted(s, p)
+    return harness.diagnostics(m["pi"], weights(s, p, m), 0.1)
+
+
+@query()
+def method_sweep(s, p):
+    """Spread of two selection methods over two budgets, on the ring's weights."""
+    w = graph.stable(hash_weights(s, p).withColumn("item", F.lit(0).cast("long")))
+    flat = w.select("u", "v", "pp")
+    methods = {"communities": lambda item, k: spread.select_seeds(flat, labels5(s, p), 0.1, k), "sampled": lambda item, k: cascade.select_cga(flat, labels5(s, p), k, 10, 52)}
+    points = harness.sweep(s, methods, [2, 4], [0], harness.evaluator(w, 0.1))
+    return points.select("method", "k", "item", F.round("spread", 6).alias("spread"), "seeds", "status")
