@@ -20,7 +20,7 @@ toxic label in the sample every score is 0.  Repeated rows are scored each.
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,17 +174,21 @@ def token_labels(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np
         all_pairs.append(np.unique(((owner + first)[:, None] << HASH_BITS) | kinds))
     kinds = np.concatenate(all_kinds) if all_kinds else np.zeros((0, 1 + len(PREFIXES) + len(SUFFIXES)), np.int32)
     owner, coded = np.concatenate(all_owners), np.concatenate(all_pairs)
-    pairs = np.stack((coded >> HASH_BITS, coded & ((1 << HASH_BITS) - 1)), axis=1)
-    toxic_docs, clean_docs = defaultdict(set), Counter()
-    of_toxic = labels[pairs[:, 0]] == 1
-    for f, n in zip(*np.unique(pairs[~of_toxic, 1], return_counts=True)):
-        clean_docs[int(f)] = int(n)
+    docs, features = (coded >> HASH_BITS).astype(np.int32), (coded & ((1 << HASH_BITS) - 1)).astype(np.int32)
+    del all_pairs, coded
+    of_toxic = labels[docs] == 1
     allowed = RARE * max(1, int((labels == 0).sum()))
-    for d, f in pairs[of_toxic].tolist():
-        if f and clean_docs[f] <= allowed:
-            toxic_docs[f].add(d)
+    clean_docs = np.bincount(features[~of_toxic], minlength=1 << HASH_BITS)
+    docs, features = docs[of_toxic], features[of_toxic]
+    # Only features that can be chosen become sets.
+    fit_to_choose = (clean_docs <= allowed) & (np.bincount(features, minlength=1 << HASH_BITS) >= LEAST_DOCS)
+    fit_to_choose[0] = False
+    keep = fit_to_choose[features]
+    toxic_docs = defaultdict(set)
+    for d, f in zip(docs[keep].tolist(), features[keep].tolist(), strict=True):
+        toxic_docs[f].add(d)
     # Greedy cover with lazily updated gains.
-    heap = [(-len(d), f) for f, d in toxic_docs.items() if len(d) >= LEAST_DOCS]
+    heap = [(-len(d), f) for f, d in toxic_docs.items()]
     heapq.heapify(heap)
     explained: set[int] = set()
     chosen: list[int] = []
