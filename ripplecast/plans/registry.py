@@ -73,11 +73,6 @@ def hash_weights(s: SparkSession, p: str) -> DataFrame:
     return d.ring(s, p).withColumn("pp", F.lit(0.05) + F.lit(0.4) * u01(9, F.col("u"), F.col("v")))
 
 
-def weak_weights(s: SparkSession, p: str) -> DataFrame:
-    """hash_weights scaled down to cascades that die out: an arc passes one time in ten, eight arcs a user."""
-    return hash_weights(s, p).withColumn("pp", F.col("pp") * 0.4)
-
-
 RING_PP = f"w AS (SELECT u, v, 0.05+0.4*{u01_sql('9', 'u', 'v')} AS pp FROM ring)"
 
 
@@ -398,14 +393,14 @@ def conformity_pp(s, p):
 
 
 @query(f"""SELECT count(*)/20.0::DOUBLE AS spread FROM (WITH RECURSIVE {RING_PP}, reach(sim, u) AS (SELECT CAST(k AS INT), u FROM (SELECT u FROM users ORDER BY u LIMIT 10), range(20) r(k)
- UNION SELECT sim, w.v FROM reach JOIN w USING (u) WHERE {u01_sql('41', 'sim', 'w.u', 'w.v')}<pp*0.4) SELECT * FROM reach)""")
+ UNION SELECT sim, w.v FROM reach JOIN w USING (u) WHERE {u01_sql('41', 'sim', 'w.u', 'w.v')}<pp) SELECT * FROM reach)""")
 def mc_ic_spread(s, p):
-    return cascade.ic_spread(weak_weights(s, p), d.users(s, p).orderBy("u").limit(10), 20, 41)
+    return cascade.ic_spread(hash_weights(s, p), d.users(s, p).orderBy("u").limit(10), 20, 41)
 
 
 @query()
 def greedy_seeds(s, p):
-    return cascade.monte_carlo_greedy(weak_weights(s, p), d.users(s, p), 5, 10, 42)
+    return cascade.monte_carlo_greedy(hash_weights(s, p), d.users(s, p), 5, 10, 42)
 
 
 @query()
@@ -437,6 +432,12 @@ def modularity_communities(s, p):
     return communities.exact(d.edges(s, p), d.users(s, p))
 
 
+@query()
+def modularity_communities_parallel(s, p):
+    """Parallel rounds down to half of the pairs, the rest in one task."""
+    return communities.parallel(d.edges(s, p), d.users(s, p), small=d.edges(s, p).count() // 2)
+
+
 @query()
 def dense_core(s, p):
     n = d.users(s, p).count()

@@ -216,3 +216,35 @@ def test_tables_and_claims(spark):
     assert {(r.method, r.spread) for r in s.collect()} == {("a", 5.0), ("b", 4.0)}
     assert harness.chain_holds(s, "a", "b").first().holds and not harness.chain_holds(s, "b", "a").first().holds
     assert harness.ascii_table(["name", "n"], [["x", 1.5], [None, 20]]).splitlines()[2:] == ["| x    | 1.5 |", "|      |  20 |"]
+
+
+def test_cascades_are_the_same_held_in_a_task_or_joined(spark):
+    rng = random.Random(4)
+    w = weights(spark, [(u, v, 0.3) for u in range(14) for v in range(14) if u != v and rng.random() < 0.2])
+    seeds, everyone = spark.range(2).toDF("u"), spark.range(14).toDF("u")
+    assert cascade.ic_spread(w, seeds, 15, 6).first() == cascade.ic_spread(w, seeds, 15, 6, local_rows=0).first()
+    both = [sorted(tuple(r) for r in cascade.monte_carlo_greedy(w, everyone, 4, 6, 7, **how).collect()) for how in ({}, {"local_rows": 0})]
+    assert both[0] == both[1]
+
+
+def test_reach_counts_in_blocks(monkeypatch):
+    monkeypatch.setattr(cascade, "BLOCK_BITS", 3)
+    rng = random.Random(5)
+    out = {u: [v for v in range(20) if rng.random() < 0.07] for u in range(20)}
+    assert cascade.reach_counts(list(range(20)), out) == {u: len(cascade.reach([u], out)) for u in range(20)}
+
+
+def test_agglomeration_of_a_contracted_graph_goes_on_as_the_whole():
+    """Two cliques, one contracted to a node whose inner weight is an arc to itself."""
+    clique = [(a, b, 1.0) for a in range(5, 9) for b in range(a + 1, 9)]
+    assert communities.agglomerate([0, 5, 6, 7, 8], [(0, 0, 6.0), (0, 5, 1.0), *clique]) == {0: 0, 5: 1, 6: 1, 7: 1, 8: 1}
+
+
+def test_parallel_merging_ends_in_one_task_or_in_rounds(spark):
+    rows = [(a, b) for s in (0, 5) for a in range(s, s + 5) for b in range(a + 1, s + 5)] + [(4, 5)]
+    e, users = spark.createDataFrame(rows, "u long, v long"), spark.range(11).toDF("u")
+    for small in (0, 12, 100):
+        parts: dict = {}
+        for r in communities.parallel(e, users, small=small).collect():
+            parts.setdefault(r.c, set()).add(r.u)
+        assert parts == {0: {0, 1, 2, 3, 4}, 5: {5, 6, 7, 8, 9}, 10: {10}}
