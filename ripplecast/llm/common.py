@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 import zlib
@@ -64,6 +65,28 @@ def _sweep() -> None:
             return
 
 
+def shielded(*needed: str):
+    """For operators that hand on the columns of docs: those not needed go through under names of their own.
+
+    So no column of docs meets a helper column of the operator.  A column whose name the operator
+    itself returns (letter case aside) gives way to the operator's; the others come back unchanged.
+    """
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(f)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            aside = {f"x{n}__aside": c for n, c in enumerate(docs.columns) if c not in needed}
+            names = {c: a for a, c in aside.items()}
+            out = f(docs.toDF(*[names.get(c, c) for c in docs.columns]), *args, **kwargs)
+            own = {c.lower() for c in out.columns if c not in aside}
+            out = out.drop(*[a for a, c in aside.items() if c.lower() in own])
+            return out.toDF(*[aside.get(c, c) for c in out.columns])
+
+        return run
+
+    return wrap
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import scratch, sliced, text_bytes
+from ripplecast.llm.common import scratch, shielded, sliced, text_bytes
 
 WINDOW, GRAM, BLOCK_BYTES = 10, 5, 8 << 20
 
@@ -158,6 +158,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("_n_words").alias("n_words"), ends.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), (ends > 0).alias("contaminated"))
 
 
+@shielded("doc_id", "text")
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window; columns are those of docs."""
     return find_leaks(docs, benchmark).where(F.size("_spans") == 0).drop("_n_words", "_spans", "_items")

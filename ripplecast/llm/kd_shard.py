@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import bucket_count, drop_scratch, hash62, running_before, scratch
+from ripplecast.llm.common import bucket_count, drop_scratch, hash62, running_before, scratch, shielded
 
 SHARDS, ROW_BYTES = 24, 8
 ROUND_BITS, ROUNDS = 13, 4
@@ -100,6 +100,7 @@ def shard_groups(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     return cells.select("_group", by_node(F.col("node"), {n: F.lit(f) for n, f in first.items()}).cast("int").alias("shard"))
 
 
+@shielded("doc_id", "text", "lang", "source")
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs plus _size, _crc, _group, shard and slot (gapless from 0 in each shard)."""
     rows = with_group(docs)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import bucket_count, drop_scratch, running_before, scratch
+from ripplecast.llm.common import bucket_count, drop_scratch, running_before, scratch, shielded
 
 WEIGHTS, VOLUME, MOST_EPOCHS, SEED, BLOCKS = (5, 2, 1), 1.5, 2, "mix-1", 1 << 16
 
@@ -102,6 +102,7 @@ def report(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
+@shielded("doc_id", "text", "source")
 def mix(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
     """The mix itself: docs repeated as taken, cut where a source's target ends, plus mix_shard and mix_order.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import crc_mod, crc_residue, hash62, sliced, text_bytes
+from ripplecast.llm.common import crc_mod, crc_residue, hash62, shielded, sliced, text_bytes
 
 SAMPLE, RANK, NEIGHBOURS, FOLD, HELD, THRESHOLD = 4000, 48, 25, 5, 0, 0.3
 BINS, SHAPES = 1024, 24
@@ -137,6 +137,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@shielded("doc_id", "text")
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the classifier doesn't reject; columns are those of docs."""
     return score_documents(docs, train(docs, labels)).where(F.col("_score") >= THRESHOLD).drop("_held_out", "_score")

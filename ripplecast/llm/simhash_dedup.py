@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import scratch, sliced, text_bytes
+from ripplecast.llm.common import scratch, shielded, sliced, text_bytes
 from ripplecast.llm.components import components
 
 WORDS, RADIUS, SHARD_LIMIT = 4, 4, 4096
@@ -276,6 +276,7 @@ def similar_texts(docs: DataFrame, words: int = 5) -> DataFrame:
     return met.select("doc_id", "sig", F.coalesce("root", "sig").alias("root"))
 
 
+@shielded("doc_id", "text")
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs without near duplicates (shingles of words, similarity SIMILARITY): of each component the row of least doc_id stays (nulls last, ties by hash of the text).
 

@@ -277,3 +277,22 @@ def test_pipeline_stages(spark):
         docs = stage(spark, docs, sf)
         assert docs.columns == columns if k < 4 else docs.columns[: len(columns)] == columns
     assert docs.count() > 0
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _size string, _spans string, _items string, _score string, _sig_own string, _order string, _group string, _before string, _words string, slot_cell string, shard string"
+
+
+def test_clashing_names_come_back_unchanged(spark):
+    """Columns named like helpers go through; one named like a returned column gives way."""
+    rows = [(k, f"{'good plain words of number' if k % 2 else 'other text about the topic'} {k} " * 4, "en", "ab"[k % 2], k, *[f"kept {k}"] * 11) for k in range(20)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([("i", "nothing of the kind")], "item_id string, text string")
+    for got in (simhash_dedup.keep_one(docs), decontaminate.drop_contaminated(docs, benchmark), quality_knn.keep_good(docs, labels), mixing.mix(docs).drop("mix_shard", "mix_order")):
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert found and all(r[c] == f"kept {r.doc_id}" for r in found for c in docs.columns[5:])
+    sharded = kd_shard.shard_documents(docs, 4)
+    assert len(sharded.columns) == len({c.lower() for c in sharded.columns})
+    found = sharded.collect()
+    assert len(found) == 20 and all(r["_spans"] == f"kept {r.doc_id}" and r.shard in range(4) and r["_size"] == len(r.text) + 8 for r in found)
