@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ripplecast.llm.common import bucket_count, drop_scratch, running_before, scratch, shielded
 
 WEIGHTS, VOLUME, MOST_EPOCHS, SEED, BLOCKS = (5, 2, 1), 1.5, 2, "mix-1", 1 << 16
+SHARDS, DEAL_SEED = 16, 11
 
 
 def n_words(text: Column) -> Column:
@@ -80,40 +81,26 @@ def plan(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, list[tuple[st
     return table, sizes, targets, sum(r["n"] for r in got)
 
 
-def take_words(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source and others) plus _size, source_size, target, _before (words earlier on the line), taken."""
-    rows = sized(docs.withColumn("source", F.col("source").cast("string")))
-    slim = scratch(rows.select("doc_id", "source", "_size", "_order"))
-    return _taken(slim)
+def _slim(rows: DataFrame) -> DataFrame:
+    """The sized rows without their texts, each under a number of its own."""
+    return scratch(rows.select("doc_id", "source", "_size", "_order", F.monotonically_increasing_id().alias("_row")))
 
 
-def _taken(slim: DataFrame) -> DataFrame:
-    table, _, _, n = plan(slim.sparkSession, slim)
+def _taken(slim: DataFrame, table: DataFrame, n: int) -> DataFrame:
     placed = running_before(slim, ["source"], ["_order", "doc_id", "_size"], "_size", bucket_count(n), "_before")
     joined = placed.join(F.broadcast(table) if table.limit(4097).count() <= 4096 else table, placed["source"].eqNullSafe(table["_source"])).drop("_source")
     words = F.floor("target")
     copies = [F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), words - F.col("_before") - k * F.col("source_size"))) for k in range(MOST_EPOCHS)]
-    return joined.withColumns({"copies": F.array(*copies), "taken": sum(copies[1:], copies[0])})
-
-
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
-    got = take_words(docs)
-    return got.select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
+    return joined.withColumn("copies", F.array(*copies))
 
 
-@shielded("doc_id", "text", "source")
-def mix(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
-    """The mix itself: docs repeated as taken, cut where a source's target ends, plus mix_shard and mix_order.
+def place(slim: DataFrame, shards: int = SHARDS, seed: int = DEAL_SEED) -> DataFrame:
+    """slim (_slim's) once an epoch, with source_size, target, _epoch, _words (words taken), mix_shard and mix_order.
 
-    Rows of a shard are to be read by mix_order.  The texts are joined by (doc_id, order hash), of
-    which equal pairs hold equal texts.
+    A piece without words, or whose block no shard holds, has no mix_shard.
     """
-    spark = docs.sparkSession
-    rows = sized(docs.withColumn("source", F.col("source").cast("string")))
-    slim = scratch(rows.select("doc_id", "source", "_size", "_order"))
-    taken = _taken(slim)
-    table, sizes, targets, _ = plan(spark, slim)
+    table, sizes, targets, n = plan(slim.sparkSession, slim)
+    taken = _taken(slim, table, n)
     total = sum(math.floor(targets[s]) for s, _ in sizes)
     block = max(1, math.ceil(total / BLOCKS))
     order = sorted((s for s, _ in sizes), key=lambda s: (s is None, s or ""))
@@ -123,13 +110,34 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 11) -> DataFrame:
     # Which shard each block of each source goes to: at most BLOCKS + one a source, whatever the input.
     dealt = []
     for k, s in enumerate(order):
-        owners = np.repeat(np.arange(shards), leaves[:, k])[rng.permutation(int(quotas[k]))]
+        owners = np.repeat(np.arange(shards), leaves[:, k])
+        owners = owners[rng.permutation(len(owners))]
         dealt += [(s, j, int(o)) for j, o in enumerate(owners.tolist())]
-    owners = spark.createDataFrame(dealt, "_source string, _block long, mix_shard int")
-    pieces = taken.select("doc_id", "source", "_order", "_size", "_before", "source_size", F.posexplode("copies").alias("_epoch", "_words")).where("_words > 0")
-    pieces = pieces.withColumn("_block", F.floor((F.col("_before") + F.col("_epoch") * F.col("source_size")) / F.lit(block)).cast("long"))
-    pieces = pieces.join(F.broadcast(owners), pieces["source"].eqNullSafe(owners["_source"]) & (pieces["_block"] == owners["_block"])).drop("_source", owners["_block"])
-    pieces = pieces.withColumn("mix_order", F.xxhash64(F.lit(seed), "_order", "doc_id", "_epoch"))
+    owners = slim.sparkSession.createDataFrame(dealt, "_source string, _block long, mix_shard int")
+    pieces = taken.select("_row", "doc_id", "source", "_order", "_size", "_before", "source_size", "target", F.posexplode("copies").alias("_epoch", "_words"))
+    start = F.when(F.col("_words") > 0, F.col("_before") + F.col("_epoch") * F.col("source_size"))
+    pieces = pieces.withColumn("_block", F.floor(start / F.lit(block)).cast("long"))
+    pieces = pieces.join(F.broadcast(owners), pieces["source"].eqNullSafe(owners["_source"]) & (pieces["_block"] == owners["_block"]), "left").drop("_source", owners["_block"])
+    return pieces.withColumn("mix_order", F.xxhash64(F.lit(seed), "_order", "doc_id", "_epoch"))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken: the words of the row's pieces that the shards of the mix hold."""
+    pieces = place(_slim(sized(docs.withColumn("source", F.col("source").cast("string")))))
+    held = F.sum(F.when(F.col("mix_shard").isNotNull(), F.col("_words")).otherwise(0)).alias("taken")
+    return pieces.groupBy("_row", "doc_id", F.col("_size").alias("size"), "source_size", "target").agg(held).drop("_row")
+
+
+@shielded("doc_id", "text", "source")
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = DEAL_SEED) -> DataFrame:
+    """The mix itself: docs repeated as taken, cut where a source's target ends, plus mix_shard and mix_order.
+
+    Rows of a shard are to be read by mix_order.  The texts are joined by (doc_id, order hash), of
+    which equal pairs hold equal texts.
+    """
+    rows = sized(docs.withColumn("source", F.col("source").cast("string")))
+    slim = _slim(rows)
+    pieces = place(slim, shards, seed).where("mix_shard IS NOT NULL")
     # Identical rows share (doc_id, order): count them off so that each meets its own pieces' total once.
     whole = pieces.where("_words = _size").groupBy("doc_id", "_order", "source", "_size", "mix_shard", "mix_order").agg(F.count("*").alias("_times"), F.max("_words").alias("_words"))
     cut = pieces.where("_words < _size").select("doc_id", "_order", "source", "_size", "mix_shard", "mix_order", F.lit(1).cast("long").alias("_times"), "_words")

@@ -133,6 +133,22 @@ def test_mixing(docs, empty):
     assert leaves.sum(axis=0).tolist() == [10, 0, 33] and (leaves >= 0).all()
 
 
+def test_mixing_report_counts_what_the_tree_places(docs, monkeypatch):
+    whole = mixing.report(docs).collect()
+    placed = mixing.place(mixing._slim(mixing.sized(docs))).where("mix_shard IS NOT NULL").collect()
+    assert sum(r._words for r in placed) == sum(r.taken for r in whole) and len({r.mix_shard for r in placed}) > 1
+    split = mixing.split_quotas
+
+    def without_a_shard(quotas, shards, rng):
+        leaves = split(quotas, shards, rng)
+        if shards == 16:
+            leaves[3] = 0
+        return leaves
+
+    monkeypatch.setattr(mixing, "split_quotas", without_a_shard)
+    assert sum(r.taken for r in mixing.report(docs).collect()) < sum(r.taken for r in whole)
+
+
 def test_sharding(spark, docs, empty):
     got = kd_shard.report(docs, 4).collect()
     assert kd_shard.report(empty, 4).count() == 0 and len(got) == len(some_rows())
