@@ -14,8 +14,8 @@ Distinct fingerprints are linked at ``radius`` or fewer differing bits:
   task nor loses a link;
 * a tree reports a spanning forest of its links, never all pairs; components follow from these.
 
-``keep_one`` is the filter for corpora: texts whose sets of word shingles are similar, found with wider
-radii in shards of shared least shingles and held to the similarity itself.
+``keep_one`` is the filter for corpora: texts whose whole sets of word shingles are similar, found in shards
+of shared least shingles along the trees with a wider radius.
 
 Defined results: null and empty texts and those without words have fingerprint zero, linked like any
 other.  Fewer words than a shingle make one shingle of the whole sequence.  Rows with equal or null
@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import scratch, shielded, sliced, text_bytes
+from ripplecast.llm.common import drop_scratch, scratch, shielded, sliced, text_bytes
 from ripplecast.llm.components import components
 
 WORDS, RADIUS, SHARD_LIMIT = 4, 4, 4096
-SIMILARITY, MINS, SKETCH, WIDE = 0.8, 6, 192, 20
+SIMILARITY, MINS, WIDE, SET_BYTES = 0.8, 6, 20, 16 << 20
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -158,10 +158,11 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def shard_links(rows: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, alike: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
-    """rows (shard, node, fp, extra) -> links (a, b) of nodes that span each shard's graph of fps within radius
-    whose extras are alike (if given).  A node is on a shard once."""
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").withColumn("slices", F.ceil(F.col("n") / shard_limit).cast("int"))
+def shard_links(rows: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, least: float | None = None) -> DataFrame:
+    """rows (shard, node, fp, extra) -> links (a, b) of nodes that span each shard's graph of fps within radius,
+    whose extras (sets of shingles), with least, have that similarity.  A node is on a shard once."""
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.length("extra")).alias("bytes")).where("n > 1")
+    sizes = sizes.select("shard", F.greatest(F.ceil(F.col("n") / shard_limit), F.ceil(F.col("bytes") / SET_BYTES)).cast("int").alias("slices"))
     rows = rows.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("slices")).cast("int"))
     # One row for each pair of slices (lo <= hi) that the node's own slice is part of.
     pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("lo"), F.greatest(j, F.col("own")).alias("hi")))
@@ -174,18 +175,19 @@ def shard_links(rows: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, al
             t = t.combine_chunks()
             task, node, fp = (t.column(c).to_numpy() for c in ("task", "node", "fp"))
             fp, tree, alone = fp.view(np.uint64), t.column("in_tree").to_numpy(), t.column("alone").to_numpy()
-            extra = t.column("extra").to_pylist() if alike else None
+            extra = t.column("extra").to_pylist() if least else None
+            alike = least and (lambda p: lambda a, b: similar(extra[p[a]], extra[p[b]], least))
             cuts = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
             found = []
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if alone[i]:
                     places = list(range(i, j))
-                    links = forest(fp[i:j].tolist(), None, radius, alike and (lambda a, b, p=places: alike(extra[p[a]], extra[p[b]])))
+                    links = forest(fp[i:j].tolist(), None, radius, alike and alike(places))
                 else:
                     inside = np.flatnonzero(tree[i:j]) + i
                     outside = np.flatnonzero(~tree[i:j]) + i
                     places = [*inside.tolist(), *outside.tolist()]
-                    links = forest(fp[inside].tolist(), fp[outside].tolist(), radius, alike and (lambda a, b, p=places: alike(extra[p[a]], extra[p[b]])))
+                    links = forest(fp[inside].tolist(), fp[outside].tolist(), radius, alike and alike(places))
                 found += [(places[a], places[b]) for a, b in links]
             at = np.array(found, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
@@ -227,51 +229,66 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return prints.join(ids, "fp").withColumn("fingerprint", text)
 
 
-def with_sketch(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, sig, fp, mins array<long>, sketch binary): least hashes by MINS orders, and the SKETCH least of all."""
+def with_mins(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, sig, fp, mins array<long>): the majority of all shingles and the least hashes of the distinct ones by MINS orders."""
     rng = np.random.default_rng(17)
     orders = rng.integers(0, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            fps, mins, sketches = [], [], []
+            fps, mins = [], []
             for text in text_bytes(batch.column(1)):
                 hashes = shingle_hashes(text, words)
                 fps.append(majority(hashes))
                 one = np.unique(hashes)
                 mins.append([int((one * k).min().view(np.int64)) for k in orders] if len(one) else [0] * MINS)
-                sketches.append(one[:SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "sig", "fp", "mins", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64()))], names=["doc_id", "sig", "fp", "mins"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_sig().alias("sig"))
-    return rows.mapInArrow(kernel, "doc_id long, sig long, fp long, mins array<long>, sketch binary")
+    return rows.mapInArrow(kernel, "doc_id long, sig long, fp long, mins array<long>")
+
+
+def with_set(texts: DataFrame, words: int) -> DataFrame:
+    """texts (sig, text) -> (sig, extra binary): all distinct shingles' hashes in order."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2 << 20):
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["sig", "extra"])
+
+    return texts.select("sig", "text").mapInArrow(kernel, "sig long, extra binary")
 
 
 def similar(a: bytes, b: bytes, least: float = SIMILARITY) -> bool:
-    """Jaccard similarity from the least hashes of both: exact for up to SKETCH different shingles together."""
+    """Whether two sets of hashes (distinct, in order) have a Jaccard similarity of least."""
     if a == b:
         return True
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    union = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        union = union[:SKETCH]
-    both = np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)
-    return len(both) >= least * len(union)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
 
 
 def similar_texts(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, sig, root): root names the component of texts whose sets of shingles are alike.
 
     Pairs of similarity SIMILARITY or more share one of MINS least shingles but for one pair in 15,000
-    (0.2 ** MINS); each such shingle is a shard.  In its BK-tree a fingerprint follows the edges within
-    WIDE bits, and the pairs met are held to the similarity of their sketches.
+    (0.2 ** MINS); each such shingle is a shard, which gets the whole sets of its texts.
     """
-    prints = scratch(with_sketch(docs, words))
-    nodes = scratch(prints.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.first("sketch").alias("sketch")))
+    prints = scratch(with_mins(docs, words))
+    nodes = scratch(prints.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.min("doc_id").alias("least")))
     exploded = nodes.select("sig", F.posexplode("mins").alias("kind", "least")).select(F.xxhash64("kind", "least").alias("shard"), "sig")
     shared = exploded.groupBy("shard").count().where("count > 1").select("shard")
-    rows = exploded.join(shared, "shard", "left_semi").join(nodes.select("sig", "fp", "sketch"), "sig")
-    owner = components(shard_links(rows.select("shard", F.col("sig").alias("node"), "fp", F.col("sketch").alias("extra")), WIDE, alike=similar))
+    rows = scratch(exploded.join(shared, "shard", "left_semi"))
+    # Each text once, by the least row that has it.
+    needed = nodes.join(rows.select("sig"), "sig", "left_semi").select(F.col("sig").alias("_sig"), "least", "fp")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_sig().alias("sig"))
+    texts = own.join(needed, own["doc_id"].eqNullSafe(needed["least"]) & (own["sig"] == needed["_sig"]), "left_semi")
+    sets = scratch(with_set(texts.dropDuplicates(["doc_id", "sig"]), words))
+    held = rows.join(nodes.select("sig", "fp"), "sig").join(sets, "sig").select("shard", F.col("sig").alias("node"), "fp", "extra")
+    owner = components(shard_links(held, WIDE, least=SIMILARITY))
+    drop_scratch(rows, sets)
     met = prints.select("doc_id", "sig").join(owner.toDF("sig", "root"), "sig", "left")
     return met.select("doc_id", "sig", F.coalesce("root", "sig").alias("root"))
 

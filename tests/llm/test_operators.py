@@ -91,6 +91,29 @@ def test_keep_one(docs, empty):
     assert {tuple(words(t)) for t in texts} <= {tuple(words(r[1])) for r in some_rows()}
 
 
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def copies_near_the_bound(n=60, length=404, seed=5):
+    """Pairs of texts of 400 shingles and over, the copy's first words changed up to similarities about 0.8."""
+    rng, out = random.Random(seed), []
+    for k in range(n):
+        line = [f"w{rng.randrange(10**9)}" for _ in range(length)]
+        out += [line, [f"z{rng.randrange(10**9)}" for _ in range(36 + k % 18)] + line[36 + k % 18 :]]
+    return [(k, " ".join(x)) for k, x in enumerate(out)]
+
+
+def test_keep_one_judges_long_texts_by_all_shingles(spark):
+    rows = copies_near_the_bound()
+    kept = {r.doc_id for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    alike = {k + 1 for k in range(0, len(rows), 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])}
+    assert 10 < len(alike) < 50
+    assert kept == {k for k, _ in rows} - alike
+
+
 def test_decontamination(spark, docs, empty):
     rows = some_rows()
     first = max((r for r in rows if r[0] == 3 or r[0] == 7), key=lambda r: len(words(r[1])))
