@@ -15,7 +15,8 @@ Distinct fingerprints are linked at ``radius`` or fewer differing bits:
 * a tree reports a spanning forest of its links, never all pairs; components follow from these.
 
 ``keep_one`` is the filter for corpora: texts whose whole sets of word shingles are similar, found in shards
-of shared least shingles along the trees with a wider radius.
+of shared least shingles: first along the trees with a wider radius, then by counting the shingles
+that the texts still apart have in common, so no pair of a shard is lost to the radius.
 
 Defined results: null and empty texts and those without words have fingerprint zero, linked like any
 other.  Fewer words than a shingle make one shingle of the whole sequence.  Rows with equal or null
@@ -158,9 +159,56 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def rest_links(sets: list[bytes], links: list[tuple[int, int]], n_tree: int | None, least: float) -> list[tuple[int, int]]:
+    """Further links that join the components of links wherever a pair of sets is similar; between places
+    below n_tree and the others only, if given.
+
+    Shingles in common are counted through the places that hold each shingle.  A pair that is still apart has
+    an end outside the largest component, so only such places ask.
+    """
+    n = len(sets)
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    roots = np.array([root(x) for x in range(n)])
+    asking = np.flatnonzero(roots != np.bincount(roots).argmax()).tolist()
+    if not asking:
+        return []
+    held = [np.frombuffer(x, np.uint64) for x in sets]
+    sizes = np.array([len(x) for x in held])
+    who = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    _, ids, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    by_id = who[np.argsort(ids, kind="stable")]
+    starts, ends = np.cumsum(times) - times, np.cumsum(sizes)
+    found = []
+    for x in asking:
+        mine = ids[ends[x] - sizes[x] : ends[x]]
+        mine = mine[times[mine] > 1]
+        if not len(mine):
+            continue
+        many = times[mine]
+        at = np.repeat(starts[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(by_id[at], minlength=n)
+        alike = (both > 0) & (both >= least * (sizes[x] + sizes - both))
+        if n_tree is not None:
+            alike[slice(0, n_tree) if x < n_tree else slice(n_tree, n)] = False
+        for y in np.flatnonzero(alike).tolist():
+            a, b = root(x), root(y)
+            if a != b:
+                parent[a] = b
+                found.append((x, y))
+    return found
+
+
 def shard_links(rows: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, least: float | None = None) -> DataFrame:
     """rows (shard, node, fp, extra) -> links (a, b) of nodes that span each shard's graph of fps within radius,
-    whose extras (sets of shingles), with least, have that similarity.  A node is on a shard once."""
+    or, with least, of extras (sets of shingles) of that similarity, whatever their fps.  A node is on a shard once."""
     sizes = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.length("extra")).alias("bytes")).where("n > 1")
     sizes = sizes.select("shard", F.greatest(F.ceil(F.col("n") / shard_limit), F.ceil(F.col("bytes") / SET_BYTES)).cast("int").alias("slices"))
     rows = rows.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("slices")).cast("int"))
@@ -181,13 +229,15 @@ def shard_links(rows: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, le
             found = []
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if alone[i]:
-                    places = list(range(i, j))
+                    places, n_tree = list(range(i, j)), None
                     links = forest(fp[i:j].tolist(), None, radius, alike and alike(places))
                 else:
                     inside = np.flatnonzero(tree[i:j]) + i
                     outside = np.flatnonzero(~tree[i:j]) + i
-                    places = [*inside.tolist(), *outside.tolist()]
+                    places, n_tree = [*inside.tolist(), *outside.tolist()], len(inside)
                     links = forest(fp[inside].tolist(), fp[outside].tolist(), radius, alike and alike(places))
+                if least and len(links) < len(places) - 1:
+                    links += rest_links([extra[p] for p in places], links, n_tree, least)
                 found += [(places[a], places[b]) for a, b in links]
             at = np.array(found, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
@@ -230,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 
 def with_mins(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, sig, fp, mins array<long>): the majority of all shingles and the least hashes of the distinct ones by MINS orders."""
+    """(doc_id, sig, fp, mins array<long>): the majority and the least hashes by MINS orders of the distinct shingles."""
     rng = np.random.default_rng(17)
     orders = rng.integers(0, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -238,9 +288,8 @@ def with_mins(docs: DataFrame, words: int) -> DataFrame:
         for batch in sliced(batches):
             fps, mins = [], []
             for text in text_bytes(batch.column(1)):
-                hashes = shingle_hashes(text, words)
-                fps.append(majority(hashes))
-                one = np.unique(hashes)
+                one = np.unique(shingle_hashes(text, words))
+                fps.append(majority(one))
                 mins.append([int((one * k).min().view(np.int64)) for k in orders] if len(one) else [0] * MINS)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64()))], names=["doc_id", "sig", "fp", "mins"])
 

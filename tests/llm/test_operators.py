@@ -114,6 +114,28 @@ def test_keep_one_judges_long_texts_by_all_shingles(spark):
     assert kept == {k for k, _ in rows} - alike
 
 
+def test_keep_one_finds_copies_with_a_repeated_line(spark):
+    rng, rows = random.Random(6), []
+    for k in range(0, 40, 2):
+        line = [f"w{rng.randrange(10**9)}" for _ in range(304)]
+        rows += [(k, " ".join(line)), (k + 1, " ".join(line + line[100:114] * 40))]
+    sets = [shingles(t) for _, t in rows]
+    assert all(len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]) for k in range(0, 40, 2))
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == set(range(0, 40, 2))
+
+
+def test_shards_link_similar_sets_beyond_the_radius(spark):
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64))
+    sets = [base[k:].tobytes() for k in (0, 5, 40)] + [np.sort(rng.integers(0, 1 << 63, 90).astype(np.uint64)).tobytes()]
+    fps = [0, -1, 255, 1 << 40]
+    frame = spark.createDataFrame([(1, k, fps[k], bytearray(sets[k])) for k in range(4)], "shard long, node long, fp long, extra binary")
+    for limit in (4096, 1):
+        links = simhash_dedup.shard_links(frame, 20, limit, 0.8).collect()
+        assert {tuple(sorted((r.a, r.b))) for r in links} == {(0, 1)}
+
+
 def test_decontamination(spark, docs, empty):
     rows = some_rows()
     first = max((r for r in rows if r[0] == 3 or r[0] == 7), key=lambda r: len(words(r[1])))
