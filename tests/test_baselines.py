@@ -248,3 +248,15 @@ def test_parallel_merging_ends_in_one_task_or_in_rounds(spark):
         for r in communities.parallel(e, users, small=small).collect():
             parts.setdefault(r.c, set()).add(r.u)
         assert parts == {0: {0, 1, 2, 3, 4}, 5: {5, 6, 7, 8, 9}, 10: {10}}
+
+
+def test_large_graphs_meet_the_target_too(spark, monkeypatch):
+    cliques = [(a, b) for base, size in ((0, 5), (10, 4), (20, 3), (30, 3)) for a in range(base, base + size) for b in range(a + 1, base + size)]
+    e = spark.createDataFrame(cliques, "u long, v long")
+    users = spark.createDataFrame([(x,) for x in sorted({x for c in cliques for x in c} | {40, 41})], "u long")
+    for target in (2, 3, 5):
+        want = {(r.u, r.c) for r in communities.exact(e, users, target).collect()}
+        monkeypatch.setattr(communities, "EXACT_EDGES", 12)
+        got = {(r.u, r.c) for r in communities.exact(e, users, target).collect()}
+        monkeypatch.undo()
+        assert got == want and {c for _, c in got} == set(range(target))
