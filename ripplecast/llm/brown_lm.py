@@ -1,14 +1,16 @@
 """Class-based n-gram scoring with Brown classes.
 
-Training text is every document outside the held-out fold.  All its tokens are counted; the HEAD most
-frequent words are clustering units of their own, the rest of the vocabulary falls into TAILS units by
-the word's last bytes, and the end of a text is a unit.  Exchange clustering moves units between CLASSES
-classes while that raises the likelihood of the class bigrams of the whole training text.  A token's
-probability is its class's probability after the class before (the end of a text comes before the first)
-times the word's in its class, both with additive smoothing and a share for unknown words.
-
-Counts of the KNOWN most frequent words go to the executors (a fixed number); the rarer tokens of each
-document meet the rest of the count table in a join, so the vocabulary may grow with the corpus, and
+Training text is every document outside the held-out fold.  All its tokens are counted.  Seed classes come
+from exchange clustering of the HEAD most frequent words, the end of a text and TAILS units by last bytes that
+stand for the rest: units move between CLASSES classes while that raises the likelihood of the class bigrams.
+Then every further word of the vocabulary joins the class that makes its own neighbours in the whole training
+text likeliest, from a table of its left and right neighbours' seed classes.  The class bigrams are counted
+anew with the final classes.  A token's probability is its class's probability after the class before (the
+end of a text comes before the first) times the word's in its class, both with additive smoothing and a
+share for unknown words.  Words that training never met take the seed class of their last bytes.
+
+Counts and classes of the KNOWN most frequent words go to the executors (a fixed number); the rarer tokens of
+each document meet the table of the other words in a join, so the vocabulary may grow with the corpus, and
 frequent words never make a hot key.
 
 Defined results: null and wordless texts are the end token alone.  Rows are scored each, whatever their
@@ -137,39 +139,170 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
     return owner
 
 
-class Model:
-    """moves: log10 P(class | class before); emit: -log10 of each class's denominator; known: log counts of frequent words."""
+class Seed:
+    """Seed classes: of known words (head says which are units of their own), of tails and of the end of a text."""
 
-    def __init__(self, known: list[tuple[bytes, int]], units: dict[bytes, int], owner: np.ndarray, pairs: np.ndarray, unit_words: np.ndarray, unit_tokens: np.ndarray) -> None:
-        classes = int(owner.max()) + 1 if len(owner) else 1
-        member = np.eye(classes)[owner]
+    def __init__(self, known: list[tuple[bytes, int]], units: dict[bytes, int], owner: np.ndarray, pairs: np.ndarray) -> None:
+        self.classes = int(owner.max()) + 1
+        member = np.eye(self.classes)[owner]
         table = member.T @ pairs @ member
-        self.moves = np.log10((table + MOVE_ALPHA) / (table.sum(axis=1, keepdims=True) + MOVE_ALPHA * classes))
-        words, tokens = np.bincount(owner, unit_words, classes), np.bincount(owner, unit_tokens, classes)
-        self.emit = -np.log10(tokens + ALPHA * (words + 1))
-        self.owner, self.units = owner, units
-        self.known = {w: k for k, (w, _) in enumerate(known)}
-        self.logs = np.log10(np.array([n for _, n in known], float) + ALPHA)
+        self.sums = table.sum(axis=1), table.sum(axis=0)
+        self.beside = np.concatenate((table, np.zeros((CLASSES - self.classes, self.classes)), table.T))
         base = len(owner) - TAILS
-        self.word_class = owner[[units[w] if w in units else base + tail_unit(w) for w, _ in known]] if known else np.zeros(0, np.int64)
+        self.words = [w for w, _ in known]
+        self.known = {w: k for k, w in enumerate(self.words)}
+        self.head = np.array([w in units for w in self.words], bool)
+        self.word_class = np.array([owner[units.get(w, base + tail_unit(w))] for w in self.words], np.int64)
         self.tail_class = owner[base:]
         self.end_class = int(owner[units[END]])
-        self.end_known = END in self.known
 
-    def parts(self, words: list[bytes]) -> tuple[float, int, float, dict[bytes, int]]:
-        """Of a text: log counts of known tokens, how many, moves and denominators of all, and its other words."""
+    def best(self, words: list[bytes], table: np.ndarray) -> np.ndarray:
+        """The class of largest likelihood gain for each word, taken out of its tail's class first; table (words,
+        2 * CLASSES): times of its left neighbours' seed classes, then its right ones'."""
+        f = lambda x: x * np.log(np.maximum(x, 1))
+        at = [self.known.get(w) for w in words]
+        own = np.array([self.tail_class[tail_unit(w)] if k is None else self.word_class[k] for w, k in zip(words, at)])
+        gain = np.zeros((len(words), self.classes))
+        everyone = np.arange(len(words))
+        for total, times in zip(self.sums, (table[:, CLASSES:].sum(axis=1), table[:, :CLASSES].sum(axis=1))):
+            base = np.repeat(total[None, :], len(words), axis=0)
+            base[everyone, own] = np.maximum(base[everyone, own] - times, 0)
+            gain -= f(base + times[:, None]) - f(base)
+        owner, code = np.nonzero(table)
+        for k in range(0, len(owner), 1 << 14):
+            o, c = owner[k : k + (1 << 14)], code[k : k + (1 << 14)]
+            times, base = table[o, c], self.beside[c]
+            every = np.arange(len(o))
+            base[every, own[o]] = np.maximum(base[every, own[o]] - times, 0)
+            starts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+            gain[o[starts]] += np.add.reduceat(f(base + times[:, None]) - f(base), starts, axis=0)
+        # All words choose at once, so an empty class, which suits any one word, would draw unlike words together.
+        gain[:, self.sums[0] + self.sums[1] == 0] = -np.inf
+        return np.argmax(gain, axis=1)
+
+
+def moves_of(table: np.ndarray) -> np.ndarray:
+    return np.log10((table + MOVE_ALPHA) / (table.sum(axis=1, keepdims=True) + MOVE_ALPHA * len(table)))
+
+
+def tables(docs: DataFrame, seed: Seed) -> DataFrame:
+    """(word, codes binary, times binary) of the words that are not heads, in parts: neighbours' codes (bytes; CLASSES more
+    on the right) and how often each (four bytes; empty for once each)."""
+    shared = docs.sparkSession.sparkContext.broadcast(seed)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = shared.value
+        get, tails = seed.known.get, seed.tail_class.tolist()
+        dense = np.zeros(len(seed.words) * 2 * CLASSES, np.uint32)
+        seen: dict[bytes, bytearray] = {}
+
+        def out(rows: list) -> pa.RecordBatch:
+            word, codes, times = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (word, codes, times)], names=["word", "codes", "times"])
+
+        for batch in sliced(batches):
+            for text, rest in zip(text_bytes(batch.column(1)), crc_residue(batch.column(0).to_pylist(), FOLD)):
+                words = text.lower().split() if rest != HELD else []
+                if not words:
+                    continue
+                at = np.array([get(w, -1) for w in words], np.int64)
+                rare = np.flatnonzero(at < 0)
+                kinds = np.full(len(words) + 2, seed.end_class, np.int64)
+                kinds[1:-1] = seed.word_class[at]
+                others = [words[k] for k in rare.tolist()]
+                kinds[1 + rare] = [tails[tail_unit(w)] for w in others]
+                mine = np.flatnonzero((at >= 0) & ~seed.head[at])
+                for codes in (kinds[mine], kinds[mine + 2] + CLASSES):
+                    np.add.at(dense, at[mine] * 2 * CLASSES + codes, 1)
+                for w, x, y in zip(others, kinds[rare].tolist(), (kinds[rare + 2] + CLASSES).tolist()):
+                    held = seen.get(w)
+                    if held is None:
+                        seen[w] = bytearray((x, y))
+                    else:
+                        held.append(x)
+                        held.append(y)
+            if len(seen) > FLUSH:
+                yield out([(w, bytes(c), b"") for w, c in seen.items()])
+                seen.clear()
+        if seen:
+            yield out([(w, bytes(c), b"") for w, c in seen.items()])
+        dense = dense.reshape(-1, 2 * CLASSES)
+        for start in range(0, len(dense), 8192):
+            rows = []
+            for k in (start + np.flatnonzero(dense[start : start + 8192].any(axis=1))).tolist():
+                codes = np.flatnonzero(dense[k])
+                rows.append((seed.words[k], codes.astype(np.uint8).tobytes(), dense[k, codes].tobytes()))
+            if rows:
+                yield out(rows)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(kernel, "word binary, codes binary, times binary")
+
+
+def word_classes(docs: DataFrame, seed: Seed) -> DataFrame:
+    """(word, n, class) of every training word that is not a head."""
+    shared = docs.sparkSession.sparkContext.broadcast(seed)
+
+    def assign(rows: pa.Table) -> pa.RecordBatch:
+        word, codes, times = (rows.column(c).to_pylist() for c in ("word", "codes", "times"))
+        first = [k == 0 or word[k] != word[k - 1] for k in range(len(word))]
+        owner = np.cumsum(first) - 1
+        code = np.frombuffer(b"".join(codes), np.uint8)
+        many = np.concatenate([np.frombuffer(t, np.uint32) if t else np.ones(len(c), np.uint32) for c, t in zip(codes, times)])
+        at = np.repeat(owner, [len(c) for c in codes]) * 2 * CLASSES + code
+        table = np.bincount(at, many, (int(owner[-1]) + 1) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+        words = [w for w, f in zip(word, first) if f]
+        found = shared.value.best(words, table)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(table[:, :CLASSES].sum(axis=1).astype(np.int64)), pa.array(found.astype(np.int32))], names=["word", "n", "class"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # sorted by word; the last word of a batch may go on in the next
+            if not batch.num_rows:
+                continue
+            word, cut = batch.column(0), batch.num_rows - 1
+            last = word[cut]
+            while cut and word[cut - 1] == last:
+                cut -= 1
+            if cut:
+                yield assign(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and held[-1].column(0)[0] != last:
+                yield assign(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield assign(pa.Table.from_batches(held))
+
+    dealt = tables(docs, seed).repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(kernel, "word binary, n long, class int")
+
+
+class Model:
+    """known: ids of frequent words, with logs of their counts and their classes; tail_class for words never met."""
+
+    def __init__(self, known: list[tuple[bytes, int, int]], seed: Seed) -> None:
+        self.known = {w: k for k, (w, _, _) in enumerate(known)}
+        self.logs = np.log10(np.array([n for _, n, _ in known], float) + ALPHA)
+        self.word_class = np.array([c for *_, c in known], np.int64)
+        self.tail_class, self.end_class = seed.tail_class.tolist(), seed.end_class
+
+    def parts(self, words: list[bytes]) -> tuple:
+        """Of a text: log counts of known tokens, how many, classes of all, and the places, slots, words and times of the rest."""
         get = self.known.get
         at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         rest = np.flatnonzero(at < 0)
-        kinds = np.empty(len(words) + 2, np.int64)
-        kinds[0] = kinds[-1] = self.end_class
-        kinds[1:-1] = self.word_class[at] if len(self.known) else 0
+        kinds = np.full(len(words) + 2, self.end_class, np.uint8)
+        if self.known:
+            kinds[1:-1] = self.word_class[at]
         others = [words[k] for k in rest.tolist()]
-        kinds[1 + rest] = self.tail_class[[tail_unit(w) for w in others]] if others else 0
-        end = self.logs[self.known[END]] if self.end_known else np.log10(ALPHA)
-        logs = float(self.logs[at[at >= 0]].sum() + end)
-        moves = float(self.moves[kinds[:-1], kinds[1:]].sum() + self.emit[kinds[1:]].sum())
-        return logs, len(words) - len(rest) + self.end_known, moves, Counter(others)
+        kinds[1 + rest] = [self.tail_class[tail_unit(w)] for w in others]
+        times = Counter(others)
+        slot = {w: k for k, w in enumerate(times)}
+        end = self.known.get(END)
+        logs = float(self.logs[at[at >= 0]].sum() + (np.log10(ALPHA) if end is None else self.logs[end]))
+        slots = np.array([slot[w] for w in others], np.int32)
+        return logs, len(words) - len(rest) + (end is not None), kinds.tobytes(), (rest + 1).astype(np.int32).tobytes(), slots.tobytes(), list(times), list(times.values())
 
 
 def known_from(counts: DataFrame) -> int:
@@ -185,12 +318,13 @@ def known_from(counts: DataFrame) -> int:
     return out
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
-    """The model, the count table, and N and V of the training text."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame, np.ndarray, int, int]:
+    """The model, the table (word, n, class) of all words but heads, each class's log denominator, and N and V of the training text."""
     counts = scratch(count_words(docs))
     whole = counts.agg(F.sum("n"), F.count("*")).first()
     total, vocabulary = int(whole[0] or 0), int(whole[1])
-    known = sorted(((bytes(r[0]), int(r[1])) for r in counts.where(F.col("n") >= known_from(counts)).collect()), key=lambda x: (-x[1], x[0]))
+    least = known_from(counts)
+    known = sorted(((bytes(r[0]), int(r[1])) for r in counts.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
     known_end = dict(known).get(END)
     if known_end is None and total:  # the end is always known, whatever its rank
         known.append((END, int(counts.where(F.col("word") == F.lit(END)).first()[1])))
@@ -199,46 +333,98 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
     n_units = len(units) + TAILS
     pairs = unit_bigrams(docs, units, n_units)
     owner = exchange(pairs, CLASSES)
-    last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int")
-    before = F.conv(F.hex(F.expr("substring(word, greatest(length(word) - 1, 1), 1)")), 16, 10).cast("int")
-    tail = counts.groupBy(((last * 31 + before) % TAILS).alias("unit")).agg(F.count("*"), F.sum("n")).collect()
-    unit_words, unit_tokens = np.zeros(n_units), np.zeros(n_units)
-    for unit, words, n in tail:
-        unit_words[n_units - TAILS + unit], unit_tokens[n_units - TAILS + unit] = words, n
-    sizes = dict(known)
-    for w, u in units.items():  # units of their own leave their tail
-        if w in sizes:
-            t = n_units - TAILS + tail_unit(w)
-            unit_words[u], unit_tokens[u] = 1, sizes[w]
-            unit_words[t] -= 1
-            unit_tokens[t] -= sizes[w]
-    return Model(known, units, owner, pairs, unit_words, unit_tokens), counts, total, vocabulary
-
-
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    model, counts, total, vocabulary = train(docs)
+    seed = Seed(known, units, owner, pairs)
+    classes = scratch(word_classes(docs, seed))
+    drop_scratch(counts)
+    found = {bytes(r[0]): int(r[1]) for r in classes.where(F.col("n") >= least).select("word", "class").collect()}
+    final = [(w, n, int(owner[units[w]]) if w in units else found[w]) for w, n in known]
+    n_classes = seed.classes
+    words, tokens = np.zeros(n_classes), np.zeros(n_classes)
+    for w, n, c in final:
+        if w in units:
+            words[c] += 1
+            tokens[c] += n
+    for c, k, n in classes.groupBy("class").agg(F.count("*"), F.sum("n")).collect():
+        words[c] += k
+        tokens[c] += n
+    return Model(final, seed), classes, -np.log10(tokens + ALPHA * (words + 1)), total, vocabulary
+
+
+def class_lines(docs: DataFrame, model: Model, classes: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, logs, kinds (the classes of the text's tokens, an end before and after)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = [shared.value.parts(t.lower().split()) + (len(t.split()) + 1,) for t in text_bytes(batch.column(1))]
+            lines = [t.lower().split() for t in text_bytes(batch.column(1))]
+            logs, known, kinds, places, slots, words, times = zip(*[shared.value.parts(x) for x in lines])
             held = pa.array([r == HELD for r in crc_residue(batch.column(0).to_pylist(), FOLD)])
-            logs, known, moves, others, n = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), held, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(moves, pa.float64()), pa.array([list(x) for x in others], pa.list_(pa.binary())), pa.array([list(x.values()) for x in others], pa.list_(pa.int64()))],
-                names=["doc_id", "held_out", "n_tokens", "known", "logs", "moves", "words", "times"],
-            )
+            columns = [batch.column(0), held, pa.array([len(x) + 1 for x in lines], pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), *[pa.array(x, pa.binary()) for x in (kinds, places, slots)], pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "logs", "kinds", "places", "slots", "words", "times"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, moves double, words array<binary>, times array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, kinds binary, places binary, slots binary, words array<binary>, times array<long>"
     parts = scratch(rows.mapInArrow(kernel, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    met = rare.join(counts, "word", "left")
-    n = F.coalesce("n", F.lit(0))
-    late = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(n + F.lit(ALPHA))).alias("late"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more"))
-    out = parts.drop("words", "times").join(late, "row", "left")
-    logs = F.col("logs") + F.coalesce("late", F.lit(0.0))
-    score = logs + F.col("moves")
+    rare = parts.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("slot", "x")).select("row", "slot", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    met = rare.join(classes, "word")
+    late = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(ALPHA))).alias("late"), F.sum("times").alias("more"), F.collect_list(F.col("slot") * 256 + F.col("class")).alias("got"))
+    rest = F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y) - F.coalesce("more", F.lit(0))
+    whole = F.col("logs") + F.coalesce("late", F.lit(0.0)) + rest * F.lit(float(np.log10(ALPHA)))
+    out = parts.join(late, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), whole.alias("logs"), "kinds", "places", "slots", "got")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            lines = []
+            for kinds, places, slots, got in zip(*[batch.column(k).to_pylist() for k in (5, 6, 7, 8)]):
+                if got:
+                    at, own = np.frombuffer(slots, np.int32), np.array(got, np.int64)
+                    by_slot = np.full(int(at.max()) + 1, -1)
+                    by_slot[own >> 8] = own & 255
+                    line, own = np.frombuffer(kinds, np.uint8).copy(), by_slot[at]
+                    line[np.frombuffer(places, np.int32)[own >= 0]] = own[own >= 0]
+                    kinds = line.tobytes()
+                lines.append(kinds)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(lines, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "kinds"])
+
+    filled = scratch(out.mapInArrow(fill, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, kinds binary"))
+    drop_scratch(parts)
+    return filled
+
+
+def class_bigrams(lines: DataFrame, n_classes: int) -> np.ndarray:
+    """Counts of neighbouring classes over the training text."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n_classes * n_classes, np.int64)
+        for batch in sliced(batches):
+            for line in batch.column(0).to_pylist():
+                x = np.frombuffer(line, np.uint8).astype(np.int64)
+                counts += np.bincount(x[:-1] * n_classes + x[1:], minlength=n_classes * n_classes)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
+
+    got = lines.where("NOT held_out").select("kinds").mapInArrow(kernel, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(n_classes * n_classes)
+    for pair, n in got:
+        out[pair] = n
+    return out.reshape(n_classes, n_classes)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    model, classes, emit, total, vocabulary = train(docs)
+    lines = class_lines(docs, model, classes)
+    steps = moves_of(class_bigrams(lines, len(emit))) + emit[None, :]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = []
+            for line in batch.column(5).to_pylist():
+                x = np.frombuffer(line, np.uint8)
+                found.append(float(steps[x[:-1], x[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(found, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "moves"])
+
+    out = lines.mapInArrow(kernel, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, moves double")
+    score = F.col("logs") + F.col("moves")
     floor = float(np.log10(total + ALPHA * (vocabulary + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (logs - F.col("n_tokens") * F.lit(floor)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

@@ -263,6 +263,27 @@ def test_rare_words_meet_the_table(docs, monkeypatch):
     assert Counter((r.doc_id, r.n_known, round(r.base_score, 4)) for r in brown_lm.report(docs).collect()) == want
 
 
+def test_rare_words_join_the_class_of_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "HEAD", 8)
+    rng, rows = random.Random(9), []
+    first, second = [f"a{k}" for k in range(4)], [f"b{k}" for k in range(4)]
+    for k in range(400):
+        line = [rng.choice(side) for _ in range(20) for side in (first, second)]
+        line[10], line[21] = f"left{k % 20}zz", f"right{k % 20}zz"
+        rows.append((k, " ".join(line)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for known in (1 << 17, 9):
+        monkeypatch.setattr(brown_lm, "KNOWN", known)
+        model, classes = brown_lm.train(docs)[:2]
+        of = {bytes(r.word): r["class"] for r in classes.collect()}
+        assert len(of) == 40 and all(model.word_class[k] == of.get(w, model.word_class[k]) for w, k in model.known.items())
+        left, right = ({of[f"{side}{k}zz".encode()] for k in range(20)} for side in ("left", "right"))
+        assert not left & right
+        lines = brown_lm.class_lines(docs, model, classes).collect()
+        seen = {r.doc_id: r.kinds for r in lines}
+        assert all(seen[k][11] in left and seen[k][22] in right for k in range(400))
+
+
 def test_exchange_finds_alternation():
     pairs = np.zeros((6, 6), np.int64)
     pairs[:3, 3:], pairs[3:, :3] = 50, 50
