@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecast.operators import spread
-from ripplecast.operators.graph import stable
+from ripplecast.operators.lineage import stable
 
 #: method(item, k) -> (rank, u)
 Method = Callable[[int, int], DataFrame]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.functions.randomness import u01
-from ripplecast.operators.graph import stable
+from ripplecast.operators.lineage import stable
 from ripplecast.operators.logs import first_adoption
 from ripplecast.operators.model import grid
 

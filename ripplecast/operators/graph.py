@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplecast.operators.lineage import release, stable
 
-def stable(df: DataFrame) -> DataFrame:
-    """Ends df's lineage in the shared checkpoint folder (one of our own where none is named)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ripplecast-"))
-    return df.checkpoint()
+#: Arcs up to which a graph is peeled in one task.
+LOCAL_ARCS = 5_000_000
 
 
 def degree_stats(edges: DataFrame, users: DataFrame) -> DataFrame:
@@ -58,33 +54,83 @@ def thin_by_quota(edges: DataFrame, activity: DataFrame, target: int, n_nodes: i
 
 
 def components(edges: DataFrame, users: DataFrame) -> DataFrame:
-    """(u, component): least id of the weakly connected component."""
-    near = stable(neighbours(edges))
-    label = stable(users.select("u", F.col("u").alias("component")))
+    """(u, component): least id of the weakly connected component.
+
+    Arcs point from a node to a lesser one of its component.  Each round a node's greater neighbours move
+    to its least neighbour, then its lesser ones do; stars remain, after a number of rounds that grows with the
+    logarithm of a component's size, not its diameter.
+    """
+    arcs = stable(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
+    mark = None
     while True:
-        best = near.join(label.toDF("v", "c"), "v").groupBy("u").agg(F.min("c").alias("c"))
-        new = label.join(best, "u", "left").select("u", F.least("component", F.coalesce("c", "component")).alias("component"), F.col("component").alias("old"))
-        # A label is a node of the component: its own label is as good or better.
-        up = new.select(F.col("u").alias("component"), F.col("component").alias("up"))
-        new = stable(new.join(up, "component", "left").select("u", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
-        changed = new.where("component <> old").limit(1).count()
-        label = new.select("u", "component")
-        if not changed:
-            return label
-
-
-def core_numbers(edges: DataFrame) -> DataFrame:
-    """(u, core): the h-index of the neighbours' values, from the degrees down to the fixpoint."""
+        both = arcs.union(arcs.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        wide = stable(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = wide.groupBy("a").agg(F.min("b").alias("m"))
+        down = wide.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = stable(down.union(least).distinct())
+        release(arcs, wide)
+        seen = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38, 0)"))).first()
+        arcs = new
+        if seen == mark:
+            break
+        mark = seen
+    return users.select("u").distinct().join(arcs.toDF("u", "component"), "u", "left").select("u", F.coalesce("component", "u").alias("component"))
+
+
+def peel(near: dict[int, list[int]]) -> dict[int, int]:
+    """Core numbers of a symmetric adjacency: the nodes of least remaining degree go first."""
+    left = {x: len(row) for x, row in near.items()}
+    waiting: dict[int, list[int]] = {}
+    for x, n in left.items():
+        waiting.setdefault(n, []).append(x)
+    core: dict[int, int] = {}
+    level = 0
+    while len(core) < len(near):
+        while not waiting.get(level):
+            level += 1
+        x = waiting[level].pop()
+        if x in core or left[x] != level:
+            continue
+        core[x] = level
+        for y in near[x]:
+            if y not in core and left[y] > level:
+                left[y] -= 1
+                waiting.setdefault(left[y], []).append(y)
+    return core
+
+
+def core_numbers(edges: DataFrame, local_arcs: int = LOCAL_ARCS) -> DataFrame:
+    """(u, core): core numbers of the undirected graph.
+
+    A graph of at most local_arcs arcs (checked) is peeled in one task.  Beyond that each node takes the
+    h-index of its neighbours' values, from the degrees down to the fixpoint, which is the same; a round goes
+    on from the neighbours of the nodes that the round before lowered.
+    """
     near = stable(neighbours(edges))
-    core = stable(near.groupBy("u").agg(F.count("*").alias("core")))
+    if near.count() <= local_arcs:
+
+        def solve(rows: pd.DataFrame) -> pd.DataFrame:
+            out: dict[int, list[int]] = {}
+            for u, v in zip(rows.u.tolist(), rows.v.tolist(), strict=True):
+                out.setdefault(u, []).append(v)
+            found = peel(out)
+            return pd.DataFrame({"u": list(found), "core": list(found.values())})
+
+        return near.groupBy(F.lit("all").alias("g")).applyInPandas(solve, "u long, core long")
+    core = stable(near.groupBy("u").agg(F.count("*").alias("core")).withColumn("fell", F.lit(True)))
     while True:
-        rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("cv"), "v"))
-        h = near.join(core.toDF("v", "cv"), "v").withColumn("r", rank).where("cv >= r").groupBy("u").agg(F.max("r").cast("long").alias("h"))
-        new = stable(core.join(h, "u").select("u", F.least("core", "h").alias("core"), F.col("core").alias("old")))
-        changed = new.where("core <> old").limit(1).count()
-        core = new.select("u", "core")
-        if not changed:
-            return core
+        touched = near.join(core.where("fell").select(F.col("u").alias("v")), "v", "left_semi").select("u").distinct()
+        # Values above a node's own count as its own, so its rows fold to one a value: no task sorts a hub's neighbours.
+        met = near.join(touched, "u", "left_semi").join(core.select(F.col("u").alias("v"), F.col("core").alias("cv")), "v").join(core.select("u", "core"), "u")
+        steps = met.groupBy("u", "core", F.least("cv", "core").alias("cv")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("u").orderBy(F.desc("cv")))
+        h = steps.withColumn("h", F.least("cv", upto)).groupBy("u").agg(F.max("h").alias("h"))
+        new = stable(core.join(h, "u", "left").select("u", F.least("core", F.coalesce("h", "core")).alias("core"), (F.coalesce("h", "core") < F.col("core")).alias("fell")))
+        release(core)
+        core = new
+        if not core.where("fell").limit(1).count():
+            return core.select("u", "core")
 
 
 def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:

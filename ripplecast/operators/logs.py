@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecast.functions.randomness import u01
+from ripplecast.operators.lineage import stable
 
 
 def first_adoption(adoptions: DataFrame) -> DataFrame:
@@ -18,11 +19,11 @@ def influence_logs(adoptions: DataFrame, edges: DataFrame, delta: int) -> DataFr
 
     Repeated adoptions count once, at their first time; equal times don't count.  The join is an equi
     join on the item and edge ends with the time window as its residual; items of one adopter drop out
-    before the shuffle of the join.
+    before the shuffle of the join.  First adoptions are written once: both sides and the item counts read them.
     """
     if delta < 0:
         raise ValueError("delta must not be negative")
-    first = first_adoption(adoptions)
+    first = stable(first_adoption(adoptions))
     shared = first.groupBy("i").agg(F.count("*").alias("n")).where("n > 1").select("i")
     a = first.join(shared, "i", "left_semi")
     b = a.select(F.col("u").alias("v"), "i", F.col("t").alias("tv"))

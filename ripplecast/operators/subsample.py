@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.operators import graph
-from ripplecast.operators.graph import stable
+from ripplecast.operators.lineage import stable
 
 KERNEL_ROWS = 20_000_000
 

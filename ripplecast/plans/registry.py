@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ripplecast.functions.randomness import u01, u01_sql
 from ripplecast import harness
 from ripplecast.operators import air, cascade, communities, gibbs, graph, logs, model, spread, subsample
+from ripplecast.operators.lineage import stable
 from ripplecast.plans import derived as d
 from ripplecast.plans.derived import C, DELTA, Z, sql
 from ripplecast.sources import synthetic
@@ -49,17 +50,17 @@ def model_window():
     return Window.orderBy("c_mktsegment")
 
 
-def hyper(s: SparkSession, p: str) -> model.Hyper:
-    e, n = d.edges(s, p).count(), d_logs(s, p).count()
+def hyper(s: SparkSession, p: str, n_edges: int | None = None, n_logs: int | None = None) -> model.Hyper:
+    e, n = n_edges or d.edges(s, p).count(), d_logs(s, p).count() if n_logs is None else n_logs
     return model.Hyper.make(C, Z, d.users(s, p).count(), e, n)
 
 
 def fitted(s: SparkSession, p: str) -> dict[str, DataFrame]:
-    h, found, e = hyper(s, p), d_logs(s, p), d.edges(s, p)
-    ev, tok = d.events(e, found), d.tokens(s, p)
-    items = tok.select("i").distinct()
-    phi = model.phi(tok, items, h)
-    return {"h": h, "phi": phi, "pi": model.pi(ev, d.users(s, p), h), "eta": model.eta(ev, h), "theta": model.theta(ev.where("kind = 1"), phi, h), "edges": e}
+    """The model's matrices; links and logs are derived once, as tables that every matrix reads."""
+    found, e = stable(d_logs(s, p)), stable(d.edges(s, p))
+    h, ev, tok = hyper(s, p, e.count(), found.count()), stable(d.events(e, found)), d.tokens(s, p)
+    phi = stable(model.phi(tok, tok.select("i").distinct(), h))
+    return {"h": h, "phi": phi, "pi": model.pi(ev, d.users(s, p), h), "eta": model.eta(ev, h), "theta": model.theta(ev.where("kind = 1"), phi, h), "edges": e, "logs": found}
 
 
 def weights(s: SparkSession, p: str, m: dict | None = None) -> DataFrame:
@@ -292,7 +293,7 @@ def mioa_nodes(s, p):
 
 @query()
 def influence_spread(s, p):
-    w = graph.stable(hash_weights(s, p))
+    w = stable(hash_weights(s, p))
     trees = spread.arborescences(w, 0.1, d.users(s, p))
     seeds = d.users(s, p).orderBy("u").limit(10)
     return spread.activation(trees, w, seeds).agg(F.round(F.sum("ap"), 6).alias("spread"))
@@ -341,7 +342,7 @@ def gibbs_topic_sweep(s, p):
 def gibbs_communities(s, p):
     """Sizes of the community pairs after three exact sweeps."""
     m = fitted(s, p)
-    ev = gibbs.sample_communities(m["edges"], d_logs(s, p), m["phi"], m["h"], 3, 22)
+    ev = gibbs.sample_communities(m["edges"], m["logs"], m["phi"], m["h"], 3, 22)
     return ev.groupBy("kind", "cp", "c").agg(F.count("*").alias("n"))
 
 
@@ -373,7 +374,7 @@ def em_sql(key: str, num: str) -> str:
  em AS (SELECT *, CASE WHEN y=1 THEN r ELSE r*a*(1-b)/(1-a*b) END AS na, CASE WHEN y=1 THEN r ELSE r*b*(1-a)/(1-a*b) END AS nb FROM em0)
  {em_sql('u', 'na')} UNION ALL {em_sql('v', 'nb')} UNION ALL SELECT 'i', i, z, round((sum(r)+0.5)/sum(sum(r)+0.5) OVER (PARTITION BY i),9) FROM em GROUP BY i, z)""")
 def air_em_step(s, p):
-    tr = graph.stable(air.trials(d.adoptions(s, p), d.edges(s, p), d_logs(s, p)))
+    tr = stable(air.trials(d.adoptions(s, p), d.edges(s, p), d_logs(s, p)))
     A, I, gamma = air.em_step(tr, *air.initial(tr, Z, 31))  # noqa: E741
     one = lambda df, side: df.select(F.lit(side).alias("side"), F.col(side).alias("id"), "z", *rounded("p", digits=9))
     return one(A, "u").union(one(I, "v")).union(one(gamma, "i"))
@@ -411,19 +412,19 @@ def cga_seeds(s, p):
 @query()
 def cinema_seeds(s, p):
     profile = logs.conformity(d.adoptions(s, p), d.edges(s, p), d.users(s, p), DELTA, 5.0)
-    w = graph.stable(cascade.conformity_pp(hash_weights(s, p), profile))
+    w = stable(cascade.conformity_pp(hash_weights(s, p), profile))
     return cascade.select_cinema(w, communities.exact(d.edges(s, p), d.users(s, p), C), 10, 20, 44)
 
 
 @query()
 def air_cga_seeds(s, p):
-    return cascade.select_cga(graph.stable(air_fit(s, p)), communities.exact(d.edges(s, p), d.users(s, p), C), 10, 20, 45)
+    return cascade.select_cga(stable(air_fit(s, p)), communities.exact(d.edges(s, p), d.users(s, p), C), 10, 20, 45)
 
 
 @query()
-def ctim_cga_seeds(s, p):
+def model_cga_seeds(s, p):
     m = fitted(s, p)
-    w = graph.stable(weights(s, p, m).groupBy("u", "v").agg(F.max("pp").alias("pp")))
+    w = stable(weights(s, p, m).groupBy("u", "v").agg(F.max("pp").alias("pp")))
     return cascade.select_cga(w, model.detect_communities(m["pi"]).toDF("u", "c"), 10, 20, 46)
 
 
@@ -466,7 +467,7 @@ def model_diagnostics(s, p):
 @query()
 def method_sweep(s, p):
     """Spread of two selection methods over two budgets, on the ring's weights."""
-    w = graph.stable(hash_weights(s, p).withColumn("item", F.lit(0).cast("long")))
+    w = stable(hash_weights(s, p).withColumn("item", F.lit(0).cast("long")))
     flat = w.select("u", "v", "pp")
     methods = {"communities": lambda item, k: spread.select_seeds(flat, labels5(s, p), 0.1, k), "sampled": lambda item, k: cascade.select_cga(flat, labels5(s, p), k, 10, 52)}
     points = harness.sweep(s, methods, [2, 4], [0], harness.evaluator(w, 0.1))

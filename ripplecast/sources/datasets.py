@@ -80,7 +80,7 @@ def dense(rows: DataFrame, column: str, name: str) -> DataFrame:
     keys = rows.select(column).where(F.col(column).isNotNull()).distinct()
     parts = keys.repartitionByRange(column).withColumn("_p", F.spark_partition_id())
     parts = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1)
-    from ripplecast.operators.graph import stable
+    from ripplecast.operators.lineage import stable
 
     parts = stable(parts)
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))

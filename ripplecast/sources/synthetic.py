@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplecast.functions.randomness import u01
-from ripplecast.operators.graph import stable
+from ripplecast.operators.lineage import stable
 from ripplecast.sources.datasets import Dataset, widened
 
 HOUR = 3600
