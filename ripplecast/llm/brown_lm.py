@@ -3,15 +3,18 @@
 Training text is every document outside the held-out fold.  All its tokens are counted.  Seed classes come
 from exchange clustering of the HEAD most frequent words, the end of a text and TAILS units by last bytes that
 stand for the rest: units move between CLASSES classes while that raises the likelihood of the class bigrams.
-Then every further word of the vocabulary joins the class that makes its own neighbours in the whole training
-text likeliest, from a table of its left and right neighbours' seed classes.  The class bigrams are counted
-anew with the final classes.  A token's probability is its class's probability after the class before (the
-end of a text comes before the first) times the word's in its class, both with additive smoothing and a
-share for unknown words.  Words that training never met take the seed class of their last bytes.
-
-Counts and classes of the KNOWN most frequent words go to the executors (a fixed number); the rarer tokens of
-each document meet the table of the other words in a join, so the vocabulary may grow with the corpus, and
-frequent words never make a hot key.
+Then every further word of the vocabulary makes its exchange: it leaves its unit's class and joins the one that
+makes its own neighbours in the whole training text likeliest, by the seed classes of all its left and right
+neighbours.  The class bigrams are counted anew with the final classes.  A token's probability is its class's
+probability after the class before (the end of a text comes before the first) times the word's in its class,
+both with additive smoothing and a share for unknown words.  Words that training never met take the seed class
+of their last bytes.
+
+Each text is cut into words once for the counts and once for a table of numbers: a word's number among the
+KNOWN most frequent ones (a fixed number, whose counts and classes go to the executors), or its slot among
+the other words of its text.  These words, fewer than a known one's occurrences each, meet all their occurrences
+in one shuffle, which finds their count and class and sends both back to the rows.  So the vocabulary may
+grow with the corpus, and frequent words never make a hot key.
 
 Defined results: null and wordless texts are the end token alone.  Rows are scored each, whatever their
 ids; a null id counts as the empty text in the fold.  Without training text all counts are zero.
@@ -19,77 +22,169 @@ ids; a null id counts as the empty text in the fold.  Without training text all
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import crc_residue, drop_scratch, scratch, sliced, text_bytes
+from ripplecast.llm.common import crc_mod, drop_scratch, scratch, sliced
 
 FOLD, HELD = 10, 0
 ALPHA = 0.1
-HEAD, TAILS, CLASSES, ROUNDS, MOVE_ALPHA = 511, 64, 48, 6, 0.5
+HEAD, TAILS, CLASSES, ROUNDS, MOVE_ALPHA = 511, 64, 48, 20, 0.5
 KNOWN = 1 << 17
-END = b"\n"
-FLUSH = 400_000
+FLUSH = 1_500_000
+CHUNK = 512
+RARE = 255
+FEW = 8
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text, and all words: A-Z lowered, cut at ASCII white space."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    lists = pc.ascii_split_whitespace(trimmed)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).copy()
+    words = lists.flatten()
+    none = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
+    if none.any():
+        words = words.filter(pc.not_equal(words, ""))
+        sizes[none] = 0
+    return sizes, words
+
+
+def numbers(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a binary column, and how many each row has."""
+    _, offsets, data = column.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    item = np.dtype(dtype).itemsize
+    found = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None and cuts[-1] > cuts[0] else np.zeros(0, np.uint8)
+    return np.frombuffer(found.tobytes(), dtype), np.diff(cuts) // item
+
+
+def packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column whose rows hold sizes of the values in turn."""
+    cuts = np.concatenate(([0], np.cumsum(sizes))) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def tail_unit(word: bytes, tails: int = TAILS) -> int:
-    return (word[-1] * 31 + word[-2:][0]) % tails
+def tail_units(words: pa.Array, tails: int = TAILS) -> np.ndarray:
+    """A unit for each word by its last two bytes (of a one-byte word, that byte twice)."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    data, sizes = numbers(words.cast(pa.binary()), np.uint8)
+    ends = np.cumsum(sizes)
+    return (data[ends - 1].astype(np.int64) * 31 + data[np.maximum(ends - 2, ends - sizes)]) % tails
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, text)"""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id").cast("long"), FOLD) == HELD).alias("held_out"), F.col("text").cast("string").alias("text"))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word binary, n long) over the training text, the end of a text included."""
+    """(word, n, m): times in the training text and in all texts; the end of a text is no word."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        def folded() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum"), ("m", "sum")]).select(["word", "n_sum", "m_sum"]).rename_columns(["word", "n", "m"])
 
         for batch in sliced(batches):
-            for text, rest in zip(text_bytes(batch.column(1)), crc_residue(batch.column(0).to_pylist(), FOLD)):
-                if rest != HELD:
-                    seen.update(text.lower().split())
-                    seen[END] += 1
-            if len(seen) > FLUSH:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
+            sizes, words = words_of(batch.column(1))
+            coded = words.dictionary_encode()
+            at = coded.indices.to_numpy()
+            train = np.repeat(~batch.column(0).to_numpy(zero_copy_only=False), sizes)
+            n = np.bincount(at[train], minlength=len(coded.dictionary))
+            held.append(pa.table([coded.dictionary, pa.array(n, pa.int64()), pa.array(np.bincount(at, minlength=len(coded.dictionary)), pa.int64())], names=["word", "n", "m"]))
+            if sum(t.num_rows for t in held) > FLUSH:
+                held = [folded()]
+                if held[0].num_rows > FLUSH // 2:
+                    yield from held[0].to_batches(1 << 16)
+                    held = []
+        if held:
+            yield from folded().to_batches(1 << 16)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(kernel, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts_of(docs).select("held_out", "text").mapInArrow(kernel, "word string, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def unit_bigrams(docs: DataFrame, units: dict[bytes, int], n_units: int) -> np.ndarray:
-    """Counts of neighbouring units over the training text; at most n_units**2 sums reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(units)
-    base = n_units - TAILS
+def known_from(counts: DataFrame) -> int:
+    """The least m that at most KNOWN words reach; from a histogram by steps of a 32nd of a power of two."""
+    step = F.floor(F.log2("m") * 32)
+    bins = counts.groupBy(step.alias("bin")).agg(F.count("*").alias("words"), F.min("m").alias("least")).orderBy(F.desc("bin")).collect()
+    out, words = 1 << 62, 0
+    for r in bins:
+        words += r["words"]
+        if words > KNOWN:
+            break
+        out = int(r["least"])
+    return out
+
+
+def encode(docs: DataFrame, known: pa.Array) -> DataFrame:
+    """(row, doc_id, held_out, ids binary, rare array): ids of a text's words, 1 on for the known ones, -1 - slot
+    for the others, which rare lists once each."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sizes, words = words_of(batch.column(3))
+            coded = words.dictionary_encode()
+            at = coded.indices.to_numpy().astype(np.int64)
+            number = pc.fill_null(pc.index_in(coded.dictionary, shared.value), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            ids = number[at] if len(at) else np.zeros(0, np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            other = np.flatnonzero(ids == 0)
+            distinct = max(1, len(coded.dictionary))
+            pairs, place = np.unique(owner[other] * distinct + at[other], return_inverse=True)
+            first = np.searchsorted(pairs, np.arange(len(sizes) + 1) * distinct)
+            ids[other] = first[owner[other]] - place - 1
+            rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), coded.dictionary.take(pa.array(pairs % distinct)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed(ids.astype(np.int32), sizes), rare], names=["row", "doc_id", "held_out", "ids", "rare"])
+
+    rows = texts_of(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    return scratch(rows.mapInArrow(kernel, "row long, doc_id long, held_out boolean, ids binary, rare array<string>"))
+
+
+class Tokens:
+    """A batch of encoded texts: ids, owner, slot (place among rare; -1 of known ones), rare, and the place of each token
+    in a line of all texts with an end before, between and after them."""
+
+    def __init__(self, ids: pa.Array, rare: pa.Array) -> None:
+        self.ids, self.sizes = numbers(ids, np.int32)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.places = np.arange(len(self.ids)) + self.owner + 1
+        self.rare = rare.flatten()
+        self.first = np.concatenate(([0], np.cumsum(rare.value_lengths().to_numpy(zero_copy_only=False))))
+        self.other = np.flatnonzero(self.ids < 0)
+        self.slot = self.first[self.owner[self.other]] - 1 - self.ids[self.other]
+
+    def line(self, of_known: np.ndarray, of_tail: np.ndarray) -> np.ndarray:
+        """of_known by id (0: the end), of_tail by the units of rare words."""
+        out = np.full(len(self.ids) + len(self.sizes) + 1, of_known[0], np.int64)
+        out[self.places] = of_known[np.maximum(self.ids, 0)]
+        out[self.places[self.other]] = of_tail[tail_units(self.rare)][self.slot] if len(self.other) else 0
+        return out
+
+
+def pair_counts(rows: DataFrame, n: int, line) -> np.ndarray:
+    """Sums of neighbouring codes below n over rows, line(batch) their codes; at most n * n sums reach the driver."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        counts = np.zeros(n_units * n_units, np.int64)
-        end = shared.value[END]
+        counts = np.zeros(n * n, np.int64)
         for batch in sliced(batches):
-            for text, rest in zip(text_bytes(batch.column(1)), crc_residue(batch.column(0).to_pylist(), FOLD)):
-                if rest != HELD:
-                    words = text.lower().split()
-                    line = [get(w, -1) for w in words]
-                    line = [base + tail_unit(w) if u < 0 else u for u, w in zip(line, words)]
-                    ids = np.array([end, *line, end], np.int64)
-                    np.add.at(counts, ids[:-1] * n_units + ids[1:], 1)
+            codes = line(batch)
+            counts += np.bincount(codes[:-1] * n + codes[1:], minlength=n * n)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     got = rows.mapInArrow(kernel, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(n_units * n_units, np.int64)
+    out = np.zeros(n * n, np.int64)
     out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(n_units, n_units)
+    return out.reshape(n, n)
 
 
 def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -140,122 +235,145 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
 
 
 class Seed:
-    """Seed classes: of known words (head says which are units of their own), of tails and of the end of a text."""
+    """Seed classes of the known words' numbers, of tail units and of the end of a text (number 0)."""
 
-    def __init__(self, known: list[tuple[bytes, int]], units: dict[bytes, int], owner: np.ndarray, pairs: np.ndarray) -> None:
+    def __init__(self, unit_of: np.ndarray, owner: np.ndarray, pairs: np.ndarray, heads: int) -> None:
         self.classes = int(owner.max()) + 1
         member = np.eye(self.classes)[owner]
         table = member.T @ pairs @ member
         self.sums = table.sum(axis=1), table.sum(axis=0)
-        self.beside = np.concatenate((table, np.zeros((CLASSES - self.classes, self.classes)), table.T))
-        base = len(owner) - TAILS
-        self.words = [w for w, _ in known]
-        self.known = {w: k for k, w in enumerate(self.words)}
-        self.head = np.array([w in units for w in self.words], bool)
-        self.word_class = np.array([owner[units.get(w, base + tail_unit(w))] for w in self.words], np.int64)
-        self.tail_class = owner[base:]
-        self.end_class = int(owner[units[END]])
-
-    def best(self, words: list[bytes], table: np.ndarray) -> np.ndarray:
-        """The class of largest likelihood gain for each word, taken out of its tail's class first; table (words,
+        self.beside = np.concatenate((table, np.zeros((CLASSES - self.classes, self.classes)), table.T, np.zeros((CLASSES - self.classes, self.classes))))
+        self.of_known, self.of_tail = owner[unit_of], owner[len(owner) - TAILS :]
+        self.heads = heads
+        # What t times of a neighbour code add to each class, for few times.
+        self.added = [gained(self.beside, t) for t in range(1, FEW + 1)]
+
+    def best(self, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The class of largest likelihood gain for each word, taken out of its own seed class first; table (words,
         2 * CLASSES): times of its left neighbours' seed classes, then its right ones'."""
-        f = lambda x: x * np.log(np.maximum(x, 1))
-        at = [self.known.get(w) for w in words]
-        own = np.array([self.tail_class[tail_unit(w)] if k is None else self.word_class[k] for w, k in zip(words, at)])
-        gain = np.zeros((len(words), self.classes))
-        everyone = np.arange(len(words))
+        gain = np.zeros((len(own), self.classes))
+        everyone = np.arange(len(own))
         for total, times in zip(self.sums, (table[:, CLASSES:].sum(axis=1), table[:, :CLASSES].sum(axis=1))):
-            base = np.repeat(total[None, :], len(words), axis=0)
+            base = np.repeat(total[None, :], len(own), axis=0)
             base[everyone, own] = np.maximum(base[everyone, own] - times, 0)
-            gain -= f(base + times[:, None]) - f(base)
-        owner, code = np.nonzero(table)
-        for k in range(0, len(owner), 1 << 14):
-            o, c = owner[k : k + (1 << 14)], code[k : k + (1 << 14)]
-            times, base = table[o, c], self.beside[c]
-            every = np.arange(len(o))
-            base[every, own[o]] = np.maximum(base[every, own[o]] - times, 0)
-            starts = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-            gain[o[starts]] += np.add.reduceat(f(base + times[:, None]) - f(base), starts, axis=0)
+            gain -= gained(base, times[:, None])
+        for t, added in enumerate(self.added, 1):
+            gain += (table == t) @ added
+        word, code = np.nonzero(table > FEW)
+        for k in range(0, len(word), 1 << 14):
+            w, c = word[k : k + (1 << 14)], code[k : k + (1 << 14)]
+            np.add.at(gain, w, gained(self.beside[c], table[w, c][:, None]))
+        word, code = np.nonzero(table)
+        times, base = table[word, code], self.beside[code, own[word]]
+        left = np.maximum(base - times, 0)
+        gain[everyone, own] += np.bincount(word, gained(left, times) - gained(base, times), len(own))
         # All words choose at once, so an empty class, which suits any one word, would draw unlike words together.
         gain[:, self.sums[0] + self.sums[1] == 0] = -np.inf
         return np.argmax(gain, axis=1)
 
 
+def gained(base: np.ndarray, times) -> np.ndarray:
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    return f(base + times) - f(base)
+
+
 def moves_of(table: np.ndarray) -> np.ndarray:
     return np.log10((table + MOVE_ALPHA) / (table.sum(axis=1, keepdims=True) + MOVE_ALPHA * len(table)))
 
 
-def tables(docs: DataFrame, seed: Seed) -> DataFrame:
-    """(word, codes binary, times binary) of the words that are not heads, in parts: neighbours' codes (bytes; CLASSES more
-    on the right) and how often each (four bytes; empty for once each)."""
-    shared = docs.sparkSession.sparkContext.broadcast(seed)
+def known_classes(lines: DataFrame, seed: Seed, n_known: int) -> np.ndarray:
+    """The class of each known number: a head's seed class, the others' by their neighbours in the training text."""
+    shared = lines.sparkSession.sparkContext.broadcast(seed)
+    wide = 2 * CLASSES
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = shared.value
-        get, tails = seed.known.get, seed.tail_class.tolist()
-        dense = np.zeros(len(seed.words) * 2 * CLASSES, np.uint32)
-        seen: dict[bytes, bytearray] = {}
+        dense = np.zeros((n_known + 1) * wide, np.int32)
+        for batch in sliced(batches):
+            t = Tokens(batch.column(0), batch.column(1))
+            line = t.line(seed.of_known, seed.of_tail)
+            mine = np.flatnonzero(t.ids > seed.heads)
+            at, places = t.ids[mine].astype(np.int64) * wide, t.places[mine]
+            np.add.at(dense, np.concatenate((at + line[places - 1], at + line[places + 1] + CLASSES)), 1)
+        at = np.flatnonzero(dense)
+        chunks = at // (wide * CHUNK)
+        cuts = np.flatnonzero(np.concatenate(([True], chunks[1:] != chunks[:-1], [True]))) if len(at) else np.zeros(1, int)
+        sizes = np.diff(cuts)
+        inside = (at - chunks * wide * CHUNK).astype(np.int32)
+        for a in range(0, len(sizes), 16):
+            own = slice(cuts[a], cuts[min(a + 16, len(sizes))])
+            yield pa.RecordBatch.from_arrays([pa.array(chunks[cuts[a : a + 16][: len(sizes[a : a + 16])]], pa.int32()), packed(inside[own], sizes[a : a + 16]), packed(dense[at[own]], sizes[a : a + 16])], names=["chunk", "at", "times"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = shared.value
+        now, table = -1, np.zeros(CHUNK * wide)
+
+        def out() -> pa.RecordBatch:
+            rows = table.reshape(CHUNK, wide)
+            seen = np.flatnonzero(rows.any(axis=1))
+            found = seed.best(seed.of_known[now * CHUNK + seen], rows[seen])
+            return pa.RecordBatch.from_arrays([pa.array(now * CHUNK + seen, pa.int32()), pa.array(found, pa.int32())], names=["id", "class"])
+
+        for batch in batches:  # sorted by chunk; one chunk's table is held at a time
+            for chunk, at, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if chunk != now:
+                    if now >= 0:
+                        yield out()
+                    now, table = chunk, np.zeros(CHUNK * wide)
+                table[np.frombuffer(at, np.int32)] += np.frombuffer(times, np.int32)
+        if now >= 0:
+            yield out()
+
+    dealt = lines.where("NOT held_out").select("ids", "rare").mapInArrow(kernel, "chunk int, at binary, times binary").repartition("chunk").sortWithinPartitions("chunk")
+    got = dealt.mapInArrow(settle, "id int, class int").toArrow()
+    found = seed.of_known.copy()
+    found[got.column("id").to_numpy()] = got.column("class").to_numpy()
+    return found
 
-        def out(rows: list) -> pa.RecordBatch:
-            word, codes, times = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (word, codes, times)], names=["word", "codes", "times"])
 
+def rare_classes(lines: DataFrame, seed: Seed) -> DataFrame:
+    """(row, slot, times, n, class, first): for each text and rare word its times there, its count and class; first
+    on one row a word."""
+    shared = lines.sparkSession.sparkContext.broadcast(seed)
+    wide = 2 * CLASSES
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = shared.value
         for batch in sliced(batches):
-            for text, rest in zip(text_bytes(batch.column(1)), crc_residue(batch.column(0).to_pylist(), FOLD)):
-                words = text.lower().split() if rest != HELD else []
-                if not words:
-                    continue
-                at = np.array([get(w, -1) for w in words], np.int64)
-                rare = np.flatnonzero(at < 0)
-                kinds = np.full(len(words) + 2, seed.end_class, np.int64)
-                kinds[1:-1] = seed.word_class[at]
-                others = [words[k] for k in rare.tolist()]
-                kinds[1 + rare] = [tails[tail_unit(w)] for w in others]
-                mine = np.flatnonzero((at >= 0) & ~seed.head[at])
-                for codes in (kinds[mine], kinds[mine + 2] + CLASSES):
-                    np.add.at(dense, at[mine] * 2 * CLASSES + codes, 1)
-                for w, x, y in zip(others, kinds[rare].tolist(), (kinds[rare + 2] + CLASSES).tolist()):
-                    held = seen.get(w)
-                    if held is None:
-                        seen[w] = bytearray((x, y))
-                    else:
-                        held.append(x)
-                        held.append(y)
-            if len(seen) > FLUSH:
-                yield out([(w, bytes(c), b"") for w, c in seen.items()])
-                seen.clear()
-        if seen:
-            yield out([(w, bytes(c), b"") for w, c in seen.items()])
-        dense = dense.reshape(-1, 2 * CLASSES)
-        for start in range(0, len(dense), 8192):
-            rows = []
-            for k in (start + np.flatnonzero(dense[start : start + 8192].any(axis=1))).tolist():
-                codes = np.flatnonzero(dense[k])
-                rows.append((seed.words[k], codes.astype(np.uint8).tobytes(), dense[k, codes].tobytes()))
-            if rows:
-                yield out(rows)
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(kernel, "word binary, codes binary, times binary")
-
-
-def word_classes(docs: DataFrame, seed: Seed) -> DataFrame:
-    """(word, n, class) of every training word that is not a head."""
-    shared = docs.sparkSession.sparkContext.broadcast(seed)
+            t = Tokens(batch.column(2), batch.column(3))
+            if not len(t.rare):
+                continue
+            line = t.line(seed.of_known, seed.of_tail)
+            order = np.argsort(t.slot, kind="stable")
+            places = t.places[t.other][order]
+            codes = np.stack((line[places - 1], line[places + 1] + CLASSES), axis=1).astype(np.uint8)
+            times = np.bincount(t.slot, minlength=len(t.rare))
+            row_of = np.repeat(np.arange(len(t.sizes)), np.diff(t.first))
+            held = batch.column(1).to_numpy(zero_copy_only=False)[row_of]
+            train = np.repeat(~held, times)
+            rows = batch.column(0).to_numpy()[row_of]
+            slots = np.arange(len(t.rare)) - t.first[row_of]
+            columns = [t.rare, pa.array(rows), pa.array(slots, pa.int32()), pa.array(times, pa.int32()), packed(codes[train].ravel(), np.where(held, 0, 2 * times))]
+            whole = pa.RecordBatch.from_arrays(columns, names=["word", "row", "slot", "times", "codes"])
+            for at in range(0, whole.num_rows, 1 << 16):
+                yield whole.slice(at, 1 << 16)
 
     def assign(rows: pa.Table) -> pa.RecordBatch:
-        word, codes, times = (rows.column(c).to_pylist() for c in ("word", "codes", "times"))
-        first = [k == 0 or word[k] != word[k - 1] for k in range(len(word))]
-        owner = np.cumsum(first) - 1
-        code = np.frombuffer(b"".join(codes), np.uint8)
-        many = np.concatenate([np.frombuffer(t, np.uint32) if t else np.ones(len(c), np.uint32) for c, t in zip(codes, times)])
-        at = np.repeat(owner, [len(c) for c in codes]) * 2 * CLASSES + code
-        table = np.bincount(at, many, (int(owner[-1]) + 1) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
-        words = [w for w, f in zip(word, first) if f]
-        found = shared.value.best(words, table)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(table[:, :CLASSES].sum(axis=1).astype(np.int64)), pa.array(found.astype(np.int32))], names=["word", "n", "class"])
+        rows = rows.combine_chunks()
+        words = rows.column("word").chunk(0).dictionary_encode()
+        owner = words.indices.to_numpy()
+        codes, sizes = numbers(rows.column("codes").chunk(0), np.uint8)
+        n_words = len(words.dictionary)
+        table = np.bincount(np.repeat(owner.astype(np.int64), sizes) * wide + codes, minlength=n_words * wide).reshape(n_words, wide).astype(float)
+        n = table[:, :CLASSES].sum(axis=1).astype(np.int64)
+        seed = shared.value
+        own = seed.of_tail[tail_units(words.dictionary)]
+        found = np.where(n > 0, seed.best(own, table), own)
+        first = np.concatenate(([True], owner[1:] != owner[:-1]))
+        columns = [rows.column(c).chunk(0) for c in ("row", "slot", "times")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n[owner]), pa.array(found[owner], pa.int32()), pa.array(first)], names=["row", "slot", "times", "n", "class", "first"])
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:  # sorted by word; the last word of a batch may go on in the next
             if not batch.num_rows:
@@ -274,157 +392,108 @@ def word_classes(docs: DataFrame, seed: Seed) -> DataFrame:
         if held:
             yield assign(pa.Table.from_batches(held))
 
-    dealt = tables(docs, seed).repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(kernel, "word binary, n long, class int")
+    rows = lines.select("row", "held_out", "ids", "rare").mapInArrow(kernel, "word string, row long, slot int, times int, codes binary")
+    dealt = rows.repartition("word").sortWithinPartitions("word")
+    return scratch(dealt.mapInArrow(settle, "row long, slot int, times int, n long, class int, first boolean"))
 
 
 class Model:
-    """known: ids of frequent words, with logs of their counts and their classes; tail_class for words never met."""
-
-    def __init__(self, known: list[tuple[bytes, int, int]], seed: Seed) -> None:
-        self.known = {w: k for k, (w, _, _) in enumerate(known)}
-        self.logs = np.log10(np.array([n for _, n, _ in known], float) + ALPHA)
-        self.word_class = np.array([c for *_, c in known], np.int64)
-        self.tail_class, self.end_class = seed.tail_class.tolist(), seed.end_class
-
-    def parts(self, words: list[bytes]) -> tuple:
-        """Of a text: log counts of known tokens, how many, classes of all, and the places, slots, words and times of the rest."""
-        get = self.known.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        rest = np.flatnonzero(at < 0)
-        kinds = np.full(len(words) + 2, self.end_class, np.uint8)
-        if self.known:
-            kinds[1:-1] = self.word_class[at]
-        others = [words[k] for k in rest.tolist()]
-        kinds[1 + rest] = [self.tail_class[tail_unit(w)] for w in others]
-        times = Counter(others)
-        slot = {w: k for k, w in enumerate(times)}
-        end = self.known.get(END)
-        logs = float(self.logs[at[at >= 0]].sum() + (np.log10(ALPHA) if end is None else self.logs[end]))
-        slots = np.array([slot[w] for w in others], np.int32)
-        return logs, len(words) - len(rest) + (end is not None), kinds.tobytes(), (rest + 1).astype(np.int32).tobytes(), slots.tobytes(), list(times), list(times.values())
+    """Counts and classes by known number (0: the end), each class's log denominator, N and V of the training text."""
 
+    def __init__(self, words: pa.Array, counts: np.ndarray, classes: np.ndarray, emit: np.ndarray, total: int, vocabulary: int) -> None:
+        self.words, self.counts, self.classes, self.emit, self.total, self.vocabulary = words, counts, classes, emit, total, vocabulary
+        self.logs = np.log10(counts + ALPHA)
 
-def known_from(counts: DataFrame) -> int:
-    """The least count that at most KNOWN words reach; from a histogram by steps of a 32nd of a power of two."""
-    step = F.floor(F.log2("n") * 32)
-    bins = counts.groupBy(step.alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
-    out, words = 1 << 62, 0
-    for r in bins:
-        words += r["words"]
-        if words > KNOWN:
-            break
-        out = int(r["least"])
-    return out
 
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame, np.ndarray, int, int]:
-    """The model, the table (word, n, class) of all words but heads, each class's log denominator, and N and V of the training text."""
+def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the encoded texts and the table of rare words in them."""
     counts = scratch(count_words(docs))
-    whole = counts.agg(F.sum("n"), F.count("*")).first()
-    total, vocabulary = int(whole[0] or 0), int(whole[1])
-    least = known_from(counts)
-    known = sorted(((bytes(r[0]), int(r[1])) for r in counts.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
-    known_end = dict(known).get(END)
-    if known_end is None and total:  # the end is always known, whatever its rank
-        known.append((END, int(counts.where(F.col("word") == F.lit(END)).first()[1])))
-    head = [w for w, _ in known if w != END][:HEAD]
-    units = {END: 0} | {w: k + 1 for k, w in enumerate(head)}
-    n_units = len(units) + TAILS
-    pairs = unit_bigrams(docs, units, n_units)
-    owner = exchange(pairs, CLASSES)
-    seed = Seed(known, units, owner, pairs)
-    classes = scratch(word_classes(docs, seed))
+    ends = texts_of(docs).where("NOT held_out").count()
+    whole = counts.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+    total, vocabulary = int(whole[0] or 0) + ends, int(whole[1]) + (ends > 0)
+    known = counts.where(F.col("m") >= known_from(counts)).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     drop_scratch(counts)
-    found = {bytes(r[0]): int(r[1]) for r in classes.where(F.col("n") >= least).select("word", "class").collect()}
-    final = [(w, n, int(owner[units[w]]) if w in units else found[w]) for w, n in known]
-    n_classes = seed.classes
-    words, tokens = np.zeros(n_classes), np.zeros(n_classes)
-    for w, n, c in final:
-        if w in units:
-            words[c] += 1
-            tokens[c] += n
-    for c, k, n in classes.groupBy("class").agg(F.count("*"), F.sum("n")).collect():
-        words[c] += k
-        tokens[c] += n
-    return Model(final, seed), classes, -np.log10(tokens + ALPHA * (words + 1)), total, vocabulary
-
-
-def class_lines(docs: DataFrame, model: Model, classes: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, logs, kinds (the classes of the text's tokens, an end before and after)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    words, times = known.column("word").combine_chunks(), known.column("n").to_numpy()
+    if isinstance(words, pa.ChunkedArray):
+        words = pa.concat_arrays(words.chunks) if words.num_chunks else pa.array([], pa.string())
+    lines = encode(docs, words)
+    heads = min(HEAD, len(words))
+    unit_of = np.concatenate(([0], np.arange(1, heads + 1), heads + 1 + tail_units(words[heads:])))
+    n_units = heads + 1 + TAILS
+    of_tail = heads + 1 + np.arange(TAILS)
+    pairs = pair_counts(lines.where("NOT held_out").select("ids", "rare"), n_units, lambda batch: Tokens(batch.column(0), batch.column(1)).line(unit_of, of_tail))
+    seed = Seed(unit_of, exchange(pairs, CLASSES), pairs, heads)
+    classes = known_classes(lines, seed, len(words))
+    rare = rare_classes(lines, seed)
+    per_word = np.concatenate(([ends], times))
+    n_words, n_tokens = np.bincount(classes[per_word > 0], minlength=seed.classes).astype(float), np.bincount(classes, per_word, seed.classes)
+    for c, k, n in rare.where("first AND n > 0").groupBy("class").agg(F.count("*"), F.sum("n")).collect():
+        n_words[c] += k
+        n_tokens[c] += n
+    return Model(words, per_word, classes, -np.log10(n_tokens + ALPHA * (n_words + 1)), total, vocabulary), lines, rare
+
+
+def class_lines(model: Model, lines: DataFrame, rare: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, logs, kinds (the classes of the text's words in order)."""
+    shared = lines.sparkSession.sparkContext.broadcast((model.classes, model.counts, model.logs))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, counts, logs = shared.value
         for batch in sliced(batches):
-            lines = [t.lower().split() for t in text_bytes(batch.column(1))]
-            logs, known, kinds, places, slots, words, times = zip(*[shared.value.parts(x) for x in lines])
-            held = pa.array([r == HELD for r in crc_residue(batch.column(0).to_pylist(), FOLD)])
-            columns = [batch.column(0), held, pa.array([len(x) + 1 for x in lines], pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), *[pa.array(x, pa.binary()) for x in (kinds, places, slots)], pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "logs", "kinds", "places", "slots", "words", "times"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, kinds binary, places binary, slots binary, words array<binary>, times array<long>"
-    parts = scratch(rows.mapInArrow(kernel, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = parts.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("slot", "x")).select("row", "slot", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    met = rare.join(classes, "word")
-    late = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(ALPHA))).alias("late"), F.sum("times").alias("more"), F.collect_list(F.col("slot") * 256 + F.col("class")).alias("got"))
-    rest = F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y) - F.coalesce("more", F.lit(0))
-    whole = F.col("logs") + F.coalesce("late", F.lit(0.0)) + rest * F.lit(float(np.log10(ALPHA)))
-    out = parts.join(late, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), whole.alias("logs"), "kinds", "places", "slots", "got")
+            ids, sizes = numbers(batch.column(3), np.int32)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            there, mine = ids >= 0, np.maximum(ids, 0)
+            kinds = np.where(there, classes[mine], RARE).astype(np.uint8)
+            slots = (-1 - ids[~there]).astype(np.int32)
+            whole = np.bincount(owner, np.where(there, logs[mine], 0.0), len(sizes)) + logs[0]
+            met = np.bincount(owner, there & (counts[mine] > 0), len(sizes)).astype(np.int64) + int(counts[0] > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes + 1, pa.int64()), pa.array(met), pa.array(whole), packed(kinds, sizes), packed(slots, np.bincount(owner[~there], minlength=len(sizes)))], names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "kinds", "slots"])
+
+    parts = lines.select("row", "doc_id", "held_out", "ids").mapInArrow(kernel, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, kinds binary, slots binary")
+    late = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + F.lit(ALPHA))).alias("late"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.collect_list(F.col("slot") * 256 + F.col("class")).alias("got"))
+    out = parts.join(late, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("late", F.lit(0.0))).alias("logs"), "kinds", "slots", "got")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            lines = []
-            for kinds, places, slots, got in zip(*[batch.column(k).to_pylist() for k in (5, 6, 7, 8)]):
-                if got:
-                    at, own = np.frombuffer(slots, np.int32), np.array(got, np.int64)
-                    by_slot = np.full(int(at.max()) + 1, -1)
-                    by_slot[own >> 8] = own & 255
-                    line, own = np.frombuffer(kinds, np.uint8).copy(), by_slot[at]
-                    line[np.frombuffer(places, np.int32)[own >= 0]] = own[own >= 0]
-                    kinds = line.tobytes()
-                lines.append(kinds)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(lines, pa.binary())], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "kinds"])
-
-    filled = scratch(out.mapInArrow(fill, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, kinds binary"))
-    drop_scratch(parts)
-    return filled
-
-
-def class_bigrams(lines: DataFrame, n_classes: int) -> np.ndarray:
-    """Counts of neighbouring classes over the training text."""
+            kinds, sizes = numbers(batch.column(5), np.uint8)
+            slots, many = numbers(batch.column(6), np.int32)
+            got = batch.column(7).flatten().to_numpy().astype(np.int64)
+            lengths = pc.fill_null(batch.column(7).value_lengths(), 0).to_numpy(zero_copy_only=False)
+            first = np.cumsum(lengths) - lengths
+            by_slot = np.zeros(len(got), np.uint8)
+            by_slot[np.repeat(first, lengths) + (got >> 8)] = got & 255
+            kinds = kinds.copy()
+            kinds[kinds == RARE] = by_slot[np.repeat(first, many) + slots]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], packed(kinds, sizes)], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "kinds"])
+
+    return scratch(out.mapInArrow(fill, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, kinds binary"))
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(n_classes * n_classes, np.int64)
-        for batch in sliced(batches):
-            for line in batch.column(0).to_pylist():
-                x = np.frombuffer(line, np.uint8).astype(np.int64)
-                counts += np.bincount(x[:-1] * n_classes + x[1:], minlength=n_classes * n_classes)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
 
-    got = lines.where("NOT held_out").select("kinds").mapInArrow(kernel, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(n_classes * n_classes)
-    for pair, n in got:
-        out[pair] = n
-    return out.reshape(n_classes, n_classes)
+def with_ends(kinds: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """All texts' classes in a line, an end before, between and after the texts."""
+    line = np.full(len(kinds) + len(sizes) + 1, end, np.int64)
+    line[np.arange(len(kinds)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = kinds
+    return line
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    model, classes, emit, total, vocabulary = train(docs)
-    lines = class_lines(docs, model, classes)
-    steps = moves_of(class_bigrams(lines, len(emit))) + emit[None, :]
+    model, encoded, rare = train(docs)
+    lines = class_lines(model, encoded, rare)
+    drop_scratch(encoded, rare)
+    end, n_classes = int(model.classes[0]), len(model.emit)
+    counts = pair_counts(lines.where("NOT held_out").select("kinds"), n_classes, lambda batch: with_ends(*numbers(batch.column(0), np.uint8), end))
+    steps = moves_of(counts) + model.emit[None, :]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = []
-            for line in batch.column(5).to_pylist():
-                x = np.frombuffer(line, np.uint8)
-                found.append(float(steps[x[:-1], x[1:]].sum()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(5)], pa.array(found, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "moves"])
+            kinds, sizes = numbers(batch.column(5), np.uint8)
+            line = with_ends(kinds, sizes, end)
+            # A text's steps end with the one to its end; running sums of whole batches would lose digits.
+            found = np.add.reduceat(steps[line[:-1], line[1:]], np.cumsum(sizes + 1) - (sizes + 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found)], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "moves"])
 
     out = lines.mapInArrow(kernel, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, moves double")
     score = F.col("logs") + F.col("moves")
-    floor = float(np.log10(total + ALPHA * (vocabulary + 1)))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+    floor = float(np.log10(model.total + ALPHA * (model.vocabulary + 1)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(floor)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))

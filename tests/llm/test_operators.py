@@ -263,25 +263,69 @@ def test_rare_words_meet_the_table(docs, monkeypatch):
     assert Counter((r.doc_id, r.n_known, round(r.base_score, 4)) for r in brown_lm.report(docs).collect()) == want
 
 
-def test_rare_words_join_the_class_of_their_neighbours(spark, monkeypatch):
+def word_classes(docs):
+    """(model, class of every training word) from a whole training."""
+    model, lines, rare = brown_lm.train(docs)
+    of = {w: int(model.classes[k]) for k, w in enumerate(model.words.to_pylist(), 1)}
+    words_at = {r.row: r.rare for r in lines.collect()}
+    of |= {words_at[r.row][r.slot]: r["class"] for r in rare.collect()}
+    return model, of
+
+
+@pytest.mark.parametrize("known", [1 << 17, 9, 0])
+def test_rare_words_join_the_class_of_their_neighbours(spark, monkeypatch, known):
     monkeypatch.setattr(brown_lm, "HEAD", 8)
+    monkeypatch.setattr(brown_lm, "KNOWN", known)
     rng, rows = random.Random(9), []
     first, second = [f"a{k}" for k in range(4)], [f"b{k}" for k in range(4)]
     for k in range(400):
         line = [rng.choice(side) for _ in range(20) for side in (first, second)]
         line[10], line[21] = f"left{k % 20}zz", f"right{k % 20}zz"
         rows.append((k, " ".join(line)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for known in (1 << 17, 9):
-        monkeypatch.setattr(brown_lm, "KNOWN", known)
-        model, classes = brown_lm.train(docs)[:2]
-        of = {bytes(r.word): r["class"] for r in classes.collect()}
-        assert len(of) == 40 and all(model.word_class[k] == of.get(w, model.word_class[k]) for w, k in model.known.items())
-        left, right = ({of[f"{side}{k}zz".encode()] for k in range(20)} for side in ("left", "right"))
+    of = word_classes(spark.createDataFrame(rows, "doc_id long, text string"))[1]
+    assert len(of) == 48
+    if known:
+        left, right = ({of[f"{side}{k}zz"] for k in range(20)} for side in ("left", "right"))
         assert not left & right
-        lines = brown_lm.class_lines(docs, model, classes).collect()
-        seen = {r.doc_id: r.kinds for r in lines}
-        assert all(seen[k][11] in left and seen[k][22] in right for k in range(400))
+
+
+@pytest.mark.parametrize("known", [1 << 17, 20])
+def test_scores_follow_from_the_classes(docs, monkeypatch, known):
+    """score against plain counts of the words and the class bigrams, the words' classes given."""
+    monkeypatch.setattr(brown_lm, "KNOWN", known)
+    model, of = word_classes(docs)
+    end, rows = int(model.classes[0]), some_rows()
+    held = lambda r: zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 10 == 0
+    line = lambda r: [w.decode() for w in words(r[1])]
+    n = Counter(w for r in rows if not held(r) for w in [*line(r), None])
+    of[None] = end
+    pairs, starts = Counter(), Counter()
+    for r in rows:
+        if not held(r):
+            kinds = [end, *[of[w] for w in line(r)], end]
+            pairs.update(zip(kinds, kinds[1:]))
+            starts.update(kinds[:-1])
+    classes = len(model.emit)
+    tokens, types = Counter(), Counter()
+    for w, k in n.items():
+        tokens[of[w]] += k
+        types[of[w]] += 1
+    want = Counter()
+    for r in rows:
+        total, before = 0.0, end
+        for w in [*line(r), None]:
+            c = of[w]
+            total += np.log10((pairs[before, c] + 0.5) / (starts[before] + 0.5 * classes))
+            total += np.log10((n[w] + 0.1) / (tokens[c] + 0.1 * (types[c] + 1)))
+            before = c
+        want[(r[0], round(total, 4))] += 1
+    assert Counter((r.doc_id, round(r.score, 4)) for r in brown_lm.report(docs).collect()) == want
+
+
+def test_language_model_without_training_text(spark):
+    rows = [(k, f"words of {k}") for k in range(200) if zlib.crc32(str(k).encode()) % 10 == 0]
+    got = brown_lm.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) > 3 and all(r.held_out and r.n_known == 0 and r.train_tokens == 0 for r in got)
 
 
 def test_exchange_finds_alternation():
