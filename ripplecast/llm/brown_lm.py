@@ -3,9 +3,10 @@
 Training text is every document outside the held-out fold.  All its tokens are counted.  Seed classes come
 from exchange clustering of the HEAD most frequent words, the end of a text and TAILS units by last bytes that
 stand for the rest: units move between CLASSES classes while that raises the likelihood of the class bigrams.
-Then every further word of the vocabulary makes its exchange: it leaves its unit's class and joins the one that
-makes its own neighbours in the whole training text likeliest, by the seed classes of all its left and right
-neighbours.  The class bigrams are counted anew with the final classes.  A token's probability is its class's
+Then every further word of the vocabulary makes its exchange: it leaves its class (its unit's at first) and joins the
+one that makes its own neighbours in the whole training text likeliest, by the classes of all its left and right
+neighbours.  The KNOWN most frequent words do so in SWEEPS sweeps, each with the classes and class bigrams of the
+one before, the others once after these.  The class bigrams are counted anew with the final classes.  A token's probability is its class's
 probability after the class before (the end of a text comes before the first) times the word's in its class,
 both with additive smoothing and a share for unknown words.  Words that training never met take the seed class
 of their last bytes.
@@ -30,31 +31,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import crc_mod, drop_scratch, scratch, sliced
+from ripplecast.llm.common import crc_mod, drop_scratch, scratch, sliced, words_of
 
 FOLD, HELD = 10, 0
 ALPHA = 0.1
 HEAD, TAILS, CLASSES, ROUNDS, MOVE_ALPHA = 511, 64, 48, 20, 0.5
 KNOWN = 1 << 17
+SWEEPS = 2
 FLUSH = 1_500_000
 CHUNK = 512
 RARE = 255
 FEW = 8
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Number of words of each text, and all words: A-Z lowered, cut at ASCII white space."""
-    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
-    lists = pc.ascii_split_whitespace(trimmed)
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).copy()
-    words = lists.flatten()
-    none = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
-    if none.any():
-        words = words.filter(pc.not_equal(words, ""))
-        sizes[none] = 0
-    return sizes, words
-
-
 def numbers(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     """All numbers in a binary column, and how many each row has."""
     _, offsets, data = column.buffers()
@@ -234,23 +223,21 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarra
     return owner
 
 
-class Seed:
-    """Seed classes of the known words' numbers, of tail units and of the end of a text (number 0)."""
+class Classes:
+    """Classes of the known words' numbers (0: the end) and of tail units, by a table of class bigrams."""
 
-    def __init__(self, unit_of: np.ndarray, owner: np.ndarray, pairs: np.ndarray, heads: int) -> None:
-        self.classes = int(owner.max()) + 1
-        member = np.eye(self.classes)[owner]
-        table = member.T @ pairs @ member
+    def __init__(self, of_known: np.ndarray, of_tail: np.ndarray, table: np.ndarray, heads: int) -> None:
+        self.classes = len(table)
         self.sums = table.sum(axis=1), table.sum(axis=0)
         self.beside = np.concatenate((table, np.zeros((CLASSES - self.classes, self.classes)), table.T, np.zeros((CLASSES - self.classes, self.classes))))
-        self.of_known, self.of_tail = owner[unit_of], owner[len(owner) - TAILS :]
+        self.of_known, self.of_tail = of_known, of_tail
         self.heads = heads
         # What t times of a neighbour code add to each class, for few times.
         self.added = [gained(self.beside, t) for t in range(1, FEW + 1)]
 
     def best(self, own: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """The class of largest likelihood gain for each word, taken out of its own seed class first; table (words,
-        2 * CLASSES): times of its left neighbours' seed classes, then its right ones'."""
+        """The class of largest likelihood gain for each word, taken out of its own class first; table (words,
+        2 * CLASSES): times of its left neighbours' classes, then its right ones'."""
         gain = np.zeros((len(own), self.classes))
         everyone = np.arange(len(own))
         for total, times in zip(self.sums, (table[:, CLASSES:].sum(axis=1), table[:, :CLASSES].sum(axis=1))):
@@ -281,19 +268,21 @@ def moves_of(table: np.ndarray) -> np.ndarray:
     return np.log10((table + MOVE_ALPHA) / (table.sum(axis=1, keepdims=True) + MOVE_ALPHA * len(table)))
 
 
-def known_classes(lines: DataFrame, seed: Seed, n_known: int) -> np.ndarray:
-    """The class of each known number: a head's seed class, the others' by their neighbours in the training text."""
+def known_classes(lines: DataFrame, seed: Classes, n_known: int) -> np.ndarray:
+    """The class of each known number: a head's as it is, the others' by their neighbours in the training text."""
     shared = lines.sparkSession.sparkContext.broadcast(seed)
-    wide = 2 * CLASSES
+    wide, chunks_in_all = 2 * CLASSES, n_known // CHUNK + 1
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = shared.value
-        dense = np.zeros((n_known + 1) * wide, np.int32)
+        dense = np.zeros(chunks_in_all * CHUNK * wide, np.int32)
         for batch in sliced(batches):
             t = Tokens(batch.column(0), batch.column(1))
             line = t.line(seed.of_known, seed.of_tail)
             mine = np.flatnonzero(t.ids > seed.heads)
-            at, places = t.ids[mine].astype(np.int64) * wide, t.places[mine]
+            # Neighbours in rank go to different chunks, so that no chunk has all frequent words.
+            ids, places = t.ids[mine].astype(np.int64), t.places[mine]
+            at = (ids % chunks_in_all * CHUNK + ids // chunks_in_all) * wide
             np.add.at(dense, np.concatenate((at + line[places - 1], at + line[places + 1] + CLASSES)), 1)
         at = np.flatnonzero(dense)
         chunks = at // (wide * CHUNK)
@@ -311,8 +300,9 @@ def known_classes(lines: DataFrame, seed: Seed, n_known: int) -> np.ndarray:
         def out() -> pa.RecordBatch:
             rows = table.reshape(CHUNK, wide)
             seen = np.flatnonzero(rows.any(axis=1))
-            found = seed.best(seed.of_known[now * CHUNK + seen], rows[seen])
-            return pa.RecordBatch.from_arrays([pa.array(now * CHUNK + seen, pa.int32()), pa.array(found, pa.int32())], names=["id", "class"])
+            ids = seen * chunks_in_all + now
+            found = seed.best(seed.of_known[ids], rows[seen])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(found, pa.int32())], names=["id", "class"])
 
         for batch in batches:  # sorted by chunk; one chunk's table is held at a time
             for chunk, at, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -331,7 +321,7 @@ def known_classes(lines: DataFrame, seed: Seed, n_known: int) -> np.ndarray:
     return found
 
 
-def rare_classes(lines: DataFrame, seed: Seed) -> DataFrame:
+def rare_classes(lines: DataFrame, seed: Classes) -> DataFrame:
     """(row, slot, times, n, class, first): for each text and rare word its times there, its count and class; first
     on one row a word."""
     shared = lines.sparkSession.sparkContext.broadcast(seed)
@@ -422,8 +412,13 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     n_units = heads + 1 + TAILS
     of_tail = heads + 1 + np.arange(TAILS)
     pairs = pair_counts(lines.where("NOT held_out").select("ids", "rare"), n_units, lambda batch: Tokens(batch.column(0), batch.column(1)).line(unit_of, of_tail))
-    seed = Seed(unit_of, exchange(pairs, CLASSES), pairs, heads)
-    classes = known_classes(lines, seed, len(words))
+    owner = exchange(pairs, CLASSES)
+    member = np.eye(int(owner.max()) + 1)[owner]
+    seed = Classes(owner[unit_of], owner[heads + 1 :], member.T @ pairs @ member, heads)
+    for _ in range(SWEEPS):
+        classes = known_classes(lines, seed, len(words))
+        table = pair_counts(lines.where("NOT held_out").select("ids", "rare"), seed.classes, lambda batch, now=classes, tail=seed.of_tail: Tokens(batch.column(0), batch.column(1)).line(now, tail))
+        seed = Classes(classes, seed.of_tail, table.astype(float), heads)
     rare = rare_classes(lines, seed)
     per_word = np.concatenate(([ends], times))
     n_words, n_tokens = np.bincount(classes[per_word > 0], minlength=seed.classes).astype(float), np.bincount(classes, per_word, seed.classes)

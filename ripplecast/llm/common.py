@@ -9,7 +9,9 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,19 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text, and all words: A-Z lowered, cut at ASCII white space."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
+    lists = pc.ascii_split_whitespace(trimmed)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).copy()
+    words = lists.flatten()
+    none = pc.equal(pc.binary_length(trimmed), 0).to_numpy(zero_copy_only=False)
+    if none.any():
+        words = words.filter(pc.not_equal(words, ""))
+        sizes[none] = 0
+    return sizes, words
+
+
 def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most about most_bytes (one row at least)."""
     for batch in batches:
@@ -143,6 +158,23 @@ def running_before(df: DataFrame, by: list[str], order: list[str], size: str, bu
     return met.withColumn(out, F.col(shift) + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop(cell, shift, *[f"{k}__r" for k in key])
 
 
+HOT_ROWS, HOT_KEYS = 2048, 1 << 20
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, times: str, how: str = "inner", limit: int = HOT_ROWS) -> DataFrame:
+    """rows joined by key with found, which has a row a key at most and in times how many rows have it.
+
+    Keys of over limit rows are broadcast, so no task gets all rows of one; they are fewer than the rows
+    divided by limit, and their number is checked.  The others are shuffled.  rows is read twice.
+    """
+    hot = found.where(F.col(times) > limit)
+    n = hot.limit(HOT_KEYS + 1).count()
+    if not 0 < n <= HOT_KEYS:
+        return rows.join(found, key, how)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.where(F.col(times) <= limit), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def hash62(*columns: Column) -> Column:
     """A hash in [0, 2**62) with even high bits."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 2)
