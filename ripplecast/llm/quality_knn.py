@@ -1,20 +1,24 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's features are counts of trigrams of byte classes (letters by case, digits, single marks, space,
-line ends, bytes beyond ASCII), hashed, and a few measures of repetition and length.  A truncated SVD of
-the weighted, length-normalised features of a bounded sample of labelled documents gives latent vectors;
-these and their labels go to the executors (at most SAMPLE rows of RANK floats), where every document
-meets all of them in exact blocked cosine products, and its NEIGHBOURS nearest vote with their similarity.
+A text's terms are its words (hashed to TERMS), the trigrams of its byte classes (letters by case, digits,
+single marks, space, line ends, bytes beyond ASCII; hashed to GRAMS) and, as terms of their own, words that repeat
+the one before, words and lines that came before in the text, and the length by powers of two.  A term's entry is
+the root of its share (words at half weight; of repeats the share itself), weighted by how few labelled texts
+hold it; a truncated SVD of the length-normalised entries of a bounded sample of labelled documents gives latent vectors.  These and their labels go to the executors
+(at most SAMPLE rows of RANK floats), where every document meets all of them in exact blocked cosine products,
+and its NEIGHBOURS nearest vote with their similarity.
 
 The sample is a parameter: of the labelled documents outside the held-out fold, the SAMPLE of least hash.
 
-Defined results: null and empty texts have no features but those of length, and a vector like any other;
+Defined results: null and empty texts have no terms but that of length, and a vector like any other;
 where no neighbour has a positive similarity the score is the sample's share of label 1 (0.5 without
-labels).  Labels that are null or of ids without a document don't count; repeated labels count each.
+labels).  Labels that are null or of ids without a document don't count; a label that repeats for a document
+counts once, and so do documents of one id and text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import crc_mod, crc_residue, hash62, shielded, sliced, text_bytes
+from ripplecast.llm.common import crc_mod, crc_residue, hash62, shielded, sliced, text_bytes, words_of
 
 SAMPLE, RANK, NEIGHBOURS, FOLD, HELD, THRESHOLD = 4000, 48, 25, 5, 0, 0.3
-BINS, SHAPES = 1024, 24
-SHARPNESS = 8
+TERMS, GRAMS, SHAPES = 4096, 1024, 24
+WIDTH = TERMS + GRAMS + SHAPES
+SHARPNESS, OVERSAMPLE, POWERS = 8, 32, 4
+WORD_WEIGHT, LENGTH_SHARE, ROWS = 0.5, 0.02, 512
 
 
 def byte_classes() -> np.ndarray:
@@ -49,21 +55,44 @@ def byte_classes() -> np.ndarray:
 CLASSES = byte_classes()
 
 
-def features(text: bytes) -> np.ndarray:
-    """BINS hashed class trigrams (square roots of shares), then SHAPES measures."""
-    out = np.zeros(BINS + SHAPES, np.float32)
-    codes = CLASSES[np.frombuffer(text, np.uint8)].astype(np.uint32)
-    if len(codes) > 2:
-        grams = (codes[:-2] * np.uint32(1600) + codes[1:-1] * np.uint32(40) + codes[2:]) * np.uint32(2654435761) >> np.uint32(22)
-        out[:BINS] = np.sqrt(np.bincount(grams, minlength=BINS) / len(grams))
-    words, lines = text.split(), [x for x in text.split(b"\n") if x]
-    n = len(words)
-    if n:
-        same = sum(a == b for a, b in zip(words, words[1:])) / n
-        distinct, line_share = len(set(words)) / n, len(set(lines)) / max(1, len(lines))
-        out[BINS : BINS + 8] = 0.4 * np.array([same, same > 0.05, 1 - distinct, distinct < 0.3, 1 - line_share, line_share < 0.7, len(text) / n > 9, n < 5], np.float32)
-    out[BINS + 8 + min(15, n.bit_length())] = 0.15
-    return out
+def features(column: pa.Array) -> np.ndarray:
+    """A row of term entries for each text: words, class trigrams, repeats and length."""
+    sizes, words = words_of(column)
+    texts, n = text_bytes(column), len(sizes)
+    out = np.zeros((n, WIDTH), np.float32)
+    if len(words):
+        coded = words.dictionary_encode()
+        bins = np.fromiter((zlib.crc32(w) % TERMS for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.int64)
+        at, owner = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(n), sizes)
+        share = 1 / np.maximum(sizes, 1)
+        out[:, :TERMS] = np.bincount(owner * TERMS + bins[at], minlength=n * TERMS).reshape(n, TERMS) * (share * WORD_WEIGHT**2)[:, None]
+        same = np.bincount(owner[1:], (at[1:] == at[:-1]) & (owner[1:] == owner[:-1]), n)
+        known = np.bincount(np.unique(owner * len(coded.dictionary) + at) // len(coded.dictionary), minlength=n)
+        out[:, TERMS + GRAMS] = same * share
+        out[:, TERMS + GRAMS + 1] = (sizes - known) * share
+    for k, text in enumerate(texts):
+        codes = CLASSES[np.frombuffer(text, np.uint8)].astype(np.uint32)
+        if len(codes) > 2:
+            grams = (codes[:-2] * np.uint32(1600) + codes[1:-1] * np.uint32(40) + codes[2:]) * np.uint32(2654435761) >> np.uint32(22)
+            out[k, TERMS : TERMS + GRAMS] = np.bincount(grams, minlength=GRAMS) / len(grams)
+        lines = [x for x in text.split(b"\n") if x]
+        out[k, TERMS + GRAMS + 2] = 1 - len(set(lines)) / len(lines) if lines else 0
+        out[k, TERMS + GRAMS + 8 + min(15, int(sizes[k]).bit_length())] = LENGTH_SHARE
+    repeats = slice(TERMS + GRAMS, TERMS + GRAMS + 3)
+    roots = np.sqrt(out)
+    roots[:, repeats] = out[:, repeats]
+    return roots
+
+
+def latent(unit: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors of the rows, by a seeded random start and power steps."""
+    if not len(unit):
+        return np.eye(unit.shape[1], rank, dtype=np.float32)
+    start = np.random.default_rng(3).standard_normal((unit.shape[1], min(rank + OVERSAMPLE, unit.shape[1]))).astype(np.float32)
+    for _ in range(POWERS):
+        start = np.linalg.qr(unit.T @ (unit @ start))[0]
+    _, _, turned = np.linalg.svd(unit @ start, full_matrices=False)
+    return np.ascontiguousarray(start @ turned[:rank].T, np.float32)
 
 
 class Model:
@@ -75,8 +104,7 @@ class Model:
         seen = (rows > 0).sum(axis=0)
         self.weights = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + 1
         unit = normal(rows * self.weights)
-        values, vectors = np.linalg.eigh(unit.T.astype(np.float64) @ unit) if len(rows) else (np.zeros(rows.shape[1]), np.eye(rows.shape[1]))
-        self.basis = np.ascontiguousarray(vectors[:, np.argsort(values)[::-1][:rank]], np.float32)
+        self.basis = latent(unit, rank)
         self.points = normal(unit @ self.basis)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -108,11 +136,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int =
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [features(t).tobytes() for t in text_bytes(batch.column(2))]
+            found = []
+            for at in range(0, batch.num_rows, ROWS):
+                for row in features(batch.column(2).slice(at, ROWS)):
+                    there = np.flatnonzero(row)
+                    found.append(there.astype(np.uint16).tobytes() + row[there].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "label", "features"])
 
     got = texts.select("_id", "_label", "_text").mapInArrow(kernel, "id long, label int, features binary").dropDuplicates(["id", "label", "features"]).orderBy("id", "label", "features").limit(2 * sample).toArrow()
-    rows = np.frombuffer(b"".join(got.column("features").to_pylist()), np.float32).reshape(-1, BINS + SHAPES)
+    rows = np.zeros((got.num_rows, WIDTH), np.float32)
+    for row, found in zip(rows, got.column("features").to_pylist()):
+        n = len(found) // 6
+        row[np.frombuffer(found, np.uint16, n)] = np.frombuffer(found, np.float32, n, 2 * n)
     return Model(rows, got.column("label").to_numpy().astype(np.int64), rank, neighbours)
 
 
@@ -124,8 +159,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = np.stack([features(t) for t in text_bytes(batch.column(place).cast(pa.string()))])
-            scores = np.concatenate([shared.value.score(rows[at : at + 1024]) for at in range(0, len(rows), 1024)])
+            texts = batch.column(place).cast(pa.string())
+            scores = np.concatenate([shared.value.score(features(texts.slice(at, ROWS))) for at in range(0, batch.num_rows, ROWS)])
             held = pa.array([r == HELD for r in crc_residue(batch.column(ids).to_pylist(), FOLD)])
             yield pa.RecordBatch.from_arrays([*batch.columns, held, pa.array(scores.astype(np.float64))], names=[*batch.schema.names, "_held_out", "_score"])
 
