@@ -2,19 +2,23 @@
 
 Tokens are runs of letters and digits (bytes beyond ASCII included), ASCII case folded.  The chain has two
 states, clean and toxic; a token's features are hashes of the word and of its first and last bytes.  A
-document is tagged in sequences of SPAN tokens; forward-backward marginals give each token's probability
-of the toxic state, from which follow the document's score and the offending offsets.
+document is one chain of all its tokens: stretches of SPAN tokens are worked on side by side, and the forward
+and backward messages pass from stretch to stretch by their transfer matrices.  The marginals give each token's
+probability of the toxic state, from which follow the document's score and the offending offsets.
 
 Labelled tokens come from labelled documents: features found in toxic sample documents and in no (or
 almost no) clean one are chosen greedily, each for the toxic documents that those before leave
 unexplained; tokens that hold a chosen feature are labelled toxic.  The CRF's weights maximise the
-likelihood of these token labels; a logistic of the marginals is fitted to the document labels.
+likelihood of these token labels (of bounded stretches, each a sequence of its own); a logistic of the
+marginals is fitted to the document labels.
 
 The sample is a parameter: of the labelled documents outside the held-out fold, the SAMPLE_TOXIC and
-SAMPLE_CLEAN ones of least hash, up to SAMPLE_BYTES of text.  Every document is scored whole.
+SAMPLE_CLEAN ones of least hash, up to SAMPLE_BYTES of text; a document of over LONG_BYTES comes after all others,
+so it can't use up its label's share.  Every document is scored whole.
 
 Defined results: null and empty texts, and texts without tokens, get the score of no toxic token.  With no
-toxic label in the sample every score is 0.  Repeated rows are scored each.
+toxic label in the sample every score is next to 0 (1e-13).  Repeated rows are scored each, repeated labels of
+a document count once a label.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ripplecast.llm.common import crc_mod, crc_residue, hash62, sliced, text_bytes
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1200, 2400, 24 << 20
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES, LONG_BYTES = 1200, 2400, 24 << 20, 256 << 10
 FOLD, HELD, THRESHOLD = 3, 1, 0.7
 HASH_BITS, SPAN, TRAIN_SPANS, STEPS = 18, 64, 8_000, 50
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
@@ -109,19 +113,27 @@ class CRF:
     def emissions(self, kinds: np.ndarray) -> np.ndarray:
         return self.weights[kinds].sum(axis=1) + self.bias
 
-    def marginals(self, table: np.ndarray, there: np.ndarray, pairs: bool = False):
-        """Probability of the toxic state for each cell; with pairs also the expected counts of moves."""
+    def marginals(self, table: np.ndarray, there: np.ndarray, pairs: bool = False, ahead_of: np.ndarray | None = None, after: np.ndarray | None = None):
+        """Probability of the toxic state for each cell; with pairs also the expected counts of moves.
+
+        ahead_of: the forward message that enters each row (nan where a chain starts), after: the backward one
+        that enters its last cell; without them each row is a chain.
+        """
         rows, width = table.shape
         push = np.exp(np.clip(table, -30, 30))
         step = np.exp(self.moves)
         ahead = np.empty((width, rows, 2))
-        now = np.stack((np.ones(rows), push[:, 0]), axis=1)
+        now = np.ones((rows, 2))
+        if ahead_of is not None:
+            goes_on = ~np.isnan(ahead_of[:, 0])
+            now[goes_on] = ahead_of[goes_on] @ step
+        now[:, 1] *= push[:, 0]
         ahead[0] = now = now / now.sum(axis=1, keepdims=True)
         for t in range(1, width):
             now = now @ step
             now[:, 1] *= push[:, t]
             ahead[t] = now = now / now.sum(axis=1, keepdims=True)
-        behind = np.ones((rows, 2))
+        behind = np.ones((rows, 2)) if after is None else after
         out = np.empty((rows, width))
         counts = np.zeros((2, 2))
         for t in range(width - 1, -1, -1):
@@ -136,9 +148,43 @@ class CRF:
                     counts += step * ((ahead[t - 1] * (there[:, t] / total)[:, None]).T @ met)
                 met = met @ step.T
                 met /= met.sum(axis=1, keepdims=True)
-                behind = np.where(there[:, t, None], met, 1.0)
+                behind = np.where(there[:, t, None], met, behind)
         return (out, counts) if pairs else out
 
+    def messages(self, table: np.ndarray, there: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows that are a document's stretches in order (rank from 0): the forward message into each row (nan
+        into first ones) and the backward message into its last cell."""
+        rows, width = table.shape
+        push = np.exp(np.clip(table, -30, 30))
+        step = np.exp(self.moves)
+        # The product of a row's transfer matrices, the move into its first cell included.
+        whole = np.repeat(np.eye(2)[None], rows, axis=0)
+        for t in range(width):
+            grown = whole @ step
+            grown[:, :, 1] *= push[:, t, None]
+            whole = np.where(there[:, t, None, None], grown / grown.sum(axis=(1, 2), keepdims=True), whole)
+        ends = np.full((rows, 2), np.nan)
+        first = rank == 0
+        now = np.ones((int(first.sum()), 2))
+        now[:, 1] *= push[first, 0]
+        for t in range(1, width):
+            grown = now @ step
+            grown[:, 1] *= push[first, t]
+            now = np.where(there[first, t, None], grown / grown.sum(axis=1, keepdims=True), now)
+        ends[first] = now
+        ahead_of, after = np.full((rows, 2), np.nan), np.ones((rows, 2))
+        by_rank = np.argsort(rank, kind="stable")
+        cuts = np.searchsorted(rank[by_rank], np.arange(int(rank.max(initial=0)) + 2))
+        steps = [by_rank[a:b] for a, b in zip(cuts[1:-1], cuts[2:], strict=True)]
+        for own in steps:
+            ahead_of[own] = ends[own - 1]
+            now = (ends[own - 1][:, None, :] @ whole[own])[:, 0]
+            ends[own] = now / now.sum(axis=1, keepdims=True)
+        for own in reversed(steps):
+            now = (whole[own] @ after[own][:, :, None])[:, :, 0]
+            after[own - 1] = now / now.sum(axis=1, keepdims=True)
+        return ahead_of, after
+
     def tag(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Probability, start, end (bytes of the joined texts) and document of each token."""
         kinds, starts, ends, owner = tokens_of(texts)
@@ -147,9 +193,12 @@ class CRF:
             return np.zeros(0), starts, ends, owner
         table, there = np.zeros((rows, SPAN)), np.zeros((rows, SPAN), bool)
         table[row, column], there[row, column] = self.emissions(kinds), True
+        of_row = owner[column == 0]
+        rank = np.arange(rows) - np.searchsorted(of_row, of_row)
+        ahead_of, after = self.messages(table, there, rank)
         out = np.zeros(len(owner))
         for at in range(0, rows, 4096):
-            part = self.marginals(table[at : at + 4096], there[at : at + 4096])
+            part = self.marginals(table[at : at + 4096], there[at : at + 4096], ahead_of=ahead_of[at : at + 4096], after=after[at : at + 4096])
             lo, hi = np.searchsorted(row, [at, at + 4096])
             out[lo:hi] = part[row[lo:hi] - at, column[lo:hi]]
         return out, starts, ends, owner
@@ -265,8 +314,9 @@ def train(docs: DataFrame, labels: DataFrame) -> CRF:
     by = hash62(F.col("_id"))
     picked = known.where("_label = 1").orderBy(by, "_id").limit(SAMPLE_TOXIC).union(known.where("_label = 0").orderBy(by, "_id").limit(SAMPLE_CLEAN))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id")
-    # The sample's rows by hash up to SAMPLE_BYTES; the window runs over the sample alone.
-    so_far = F.sum(F.octet_length("_text")).over(Window.partitionBy("_label").orderBy(by, "_id", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # The sample's rows by hash up to SAMPLE_BYTES, long ones last; the window runs over the sample alone.
+    texts = texts.dropDuplicates(["_id", "_label", "_text"]).withColumn("_long", F.octet_length("_text") > LONG_BYTES)
+    so_far = F.sum(F.octet_length("_text")).over(Window.partitionBy("_label").orderBy("_long", by, "_id", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     got = texts.withColumn("_bytes", so_far).where(F.col("_bytes") <= SAMPLE_BYTES // 2).select("_id", "_label", "_text").toArrow().sort_by([("_id", "ascending"), ("_label", "ascending"), ("_text", "ascending")])
     return fit(text_bytes(got.column("_text").combine_chunks()), got.column("_label").to_numpy())
 
