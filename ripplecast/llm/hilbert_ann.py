@@ -7,7 +7,10 @@ equal stretches of places form the blocks that Spark deals out.  A query goes
 to the blocks that its window of places touches on any curve, meets the
 candidates within the window, and the hits of all curves are merged and
 reranked by the exact inner product of the original vectors in double
-precision.  Equal vectors are indexed once, with their least ids.
+precision.  A task holds the candidates of one block (BLOCK_BYTES at most) and
+reads its queries in batches; where a block meets over SLICE_QUERIES queries, it
+is dealt once for each slice of them.  Equal vectors are indexed once, with
+their least ids.
 
 Inner product is not a metric, so vectors are first lifted to equal length
 (one more coordinate, the missing norm): the largest inner product with a query
@@ -21,9 +24,10 @@ with structure with narrow ones.  The last share covers every row.
 
 Defined results: vectors that are null, empty, zero, of another length than
 most (longest common length by count, ties to the longer) or holding null or
-non-finite components take no part, neither do rows with a null id.  Rows with
-equal ids are separate candidates; a query never meets rows of its own id.  An
-empty table gives an empty result.  Other columns are ignored.
+non-finite components take no part, neither do rows with a null id.  Rows are
+separate candidates and queries, whatever their ids and vectors: a query leaves out
+its own row alone.  An empty table gives an empty result.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecast.llm.common import scratch, sliced
@@ -80,7 +84,7 @@ def curve_keys(vectors: np.ndarray, turn: np.ndarray, shift: np.ndarray, scale:
     return hilbert_key((unit * (1 << bits)).astype(np.int64), bits)
 
 
-BLOCK_ROWS, KEYS_SAMPLE = 4096, 1 << 16
+BLOCK_ROWS, BLOCK_BYTES, SLICE_QUERIES, KEYS_SAMPLE, MERGE_BLOCKS = 4096, 16 << 20, 1 << 16, 1 << 16, 64
 
 
 class Curves:
@@ -117,8 +121,8 @@ class Curves:
         return np.minimum(low + (high - low) * spread, 1 - 1e-9)
 
 
-def clean(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, int, str]:
-    """Vectors that take part, equal ones of a batch together: vec (bytes), ids (the k+1 least), asks (query ids)."""
+def clean(vectors: DataFrame) -> tuple[DataFrame, int, str]:
+    """Rows that take part: vec (bytes), vec_id; with the width and type of vec."""
     column = vectors.schema["embedding"].dataType.elementType.typeName()
     dtype = "<f4" if column == "float" else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull())
@@ -127,28 +131,52 @@ def clean(vectors: DataFrame, every: int, k: int) -> tuple[DataFrame, int, str]:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: dict[bytes, list[int]] = {}
+            vecs, ids = [], []
             for vec_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if x is None or len(x) != width or None in x:
                     continue
                 a = np.array(x, dtype=np.float64)
                 if np.isfinite(a).all() and a.any():
-                    groups.setdefault((a + 0.0).astype(dtype).tobytes(), []).append(vec_id)
-            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.binary()), pa.array([sorted(set(g))[: k + 1] for g in groups.values()], pa.list_(pa.int64())), pa.array([[i for i in g if i % every == 0] for g in groups.values()], pa.list_(pa.int64()))], names=["vec", "ids", "asks"])
-
-    found = rows.mapInArrow(kernel, "vec binary, ids array<long>, asks array<long>")
-    return found, width, dtype
-
-
-def search(vectors: DataFrame, every: int = 20, k: int = 20, recall_target: float = 0.95, shares: tuple[float, ...] = SHARES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for every vec_id divisible by every."""
+                    vecs.append((a + 0.0).astype(dtype).tobytes())
+                    ids.append(vec_id)
+            yield pa.RecordBatch.from_arrays([pa.array(vecs, pa.binary()), pa.array(ids, pa.int64())], names=["vec", "vec_id"])
+
+    return rows.mapInArrow(kernel, "vec binary, vec_id long"), width, dtype
+
+
+def nearest(q: np.ndarray, cand: np.ndarray, near: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of near (products, -inf where out of the window): the k best candidates by exact score, ties to the
+    smaller least id, with their scores."""
+    m = min(k + 12, near.shape[1])
+    best = np.argpartition(-near, m - 1, axis=1)[:, :m]
+    exact = (q[:, None, :] * cand[best]).sum(axis=2)
+    got = np.take_along_axis(near, best, axis=1)
+    cut = np.sort(got, axis=1)[:, ::-1][:, min(k, m) - 1]
+    slack = 1e-12 * np.sqrt((q**2).sum(axis=1) * (cand**2).sum(axis=1).max())
+    tied = (near >= (cut - slack)[:, None]).sum(axis=1) > m
+    for j in range(len(q)):
+        at, score = best[j], exact[j]
+        if tied[j] and np.isfinite(cut[j]):
+            # More candidates than were taken are as near as the last of them, up to rounding.
+            at = np.flatnonzero(near[j] >= cut[j] - slack[j])
+            score = (q[j][None, :] * cand[at]).sum(axis=1)
+        there = np.isfinite(near[j, at])
+        at, score = at[there], score[there]
+        order = np.lexsort((least[at], -score))[:k]
+        yield at[order], score[order]
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, recall_target: float = 0.95, shares: tuple[float, ...] = SHARES, block_rows: int = BLOCK_ROWS, slice_queries: int = SLICE_QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for every row whose vec_id is divisible by every."""
     spark = vectors.sparkSession
-    found, width, dtype = clean(vectors, every, k)
+    found, width, dtype = clean(vectors)
     parts = scratch(found)
-    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
-    rows = scratch(parts.groupBy("vec").agg(least.alias("ids"), F.max(F.size("asks") > 0).alias("asks")).withColumn("tag", F.xxhash64("vec")))
-    queries = parts.select("vec", F.explode("asks").alias("query_id"))
-    n = rows.count()
+    # A vector's k + 1 least ids: the window's limit is applied before the shuffle too, so no task gets all equal vectors.
+    least = parts.withColumn("_r", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
+    rows = scratch(least.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("tag", F.xxhash64("vec")))
+    queries = parts.where(F.col("vec_id") % every == 0).select("vec", F.col("vec_id").alias("query_id"))
+    asked = scratch(queries.select("vec").distinct().withColumn("tag", F.xxhash64("vec")))
+    n, n_asked = rows.count(), asked.count()
     wide = lambda column: np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width).astype(np.float64)
 
     # About KEYS_SAMPLE rows by hash; no task sends more than its part of them.
@@ -163,67 +191,102 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, recall_target: floa
     top = rows.select("vec").mapInArrow(norms, "top double").agg(F.max("top")).first()[0] or 1.0
     curves = Curves(sample, top)
     shared = spark.sparkContext.broadcast(curves)
-    share = tune(rows, curves, wide, k, recall_target, shares) if n else 1.0
-    blocks = max(1, -(-n // BLOCK_ROWS))
+    share = tune(rows, asked, curves, wide, k, recall_target, shares) if n_asked else 1.0
+    blocks = max(1, -(-n // max(block_rows, min(n // 256, BLOCK_BYTES // (8 * width)))))
+    slices = max(1, -(-int(n_asked * min(1.0, 2 * share + 2 / blocks)) // slice_queries))
+    n_curves = len(curves.marks)
+    placed_as = "task long, asks boolean, vec binary, tag long, ids array<long>, low double, high double"
+
+    def task_of(block: np.ndarray, part: np.ndarray, curve: int) -> pa.Array:
+        return pa.array(((block.astype(np.int64) * slices) + part) * n_curves + curve)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Curves = shared.value
         for batch in sliced(batches, 1 << 20):
-            vec, tag, ids, asks = (batch.column(j) for j in range(4))
+            vec, ids, tag = (batch.column(j) for j in range(3))
             x, hashes = wide(vec), tag.to_numpy().view(np.uint64)
-            asking = np.flatnonzero(asks.to_numpy(zero_copy_only=False))
-            for curve in range(len(c.marks)):
+            for curve in range(n_curves):
                 own = c.share(x, hashes, curve)
-                every_row = np.arange(len(x))
-                low, high = c.stretch(x[asking], True, curve)
-                first, last = np.floor(np.maximum(low - share, 0) * blocks), np.floor(np.minimum(high + share, 1 - 1e-9) * blocks)
+                at = np.repeat(np.arange(len(x)), slices)
+                pick, where = pa.array(at), pa.array(own[at])
+                yield pa.RecordBatch.from_arrays([task_of(np.floor(own[at] * blocks), np.tile(np.arange(slices), len(x)), curve), pa.array(np.zeros(len(at), bool)), vec.take(pick), tag.take(pick), ids.take(pick), where, where], names=["task", "asks", "vec", "tag", "ids", "low", "high"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c: Curves = shared.value
+        for batch in sliced(batches, 1 << 18):
+            vec, tag = batch.column(0), batch.column(1)
+            x, hashes = wide(vec), tag.to_numpy().view(np.uint64)
+            for curve in range(n_curves):
+                low, high = c.stretch(x, True, curve)
+                low, high = low - share, high + share
+                first, last = np.floor(np.maximum(low, 0) * blocks), np.floor(np.minimum(high, 1 - 1e-9) * blocks)
                 spans = (last - first + 1).astype(int)
-                q = np.repeat(asking, spans)
-                q_block = np.repeat(first, spans) + np.arange(len(q)) - np.repeat(np.cumsum(spans) - spans, spans)
-                pick, block = np.concatenate((every_row, q)), np.concatenate((np.floor(own * blocks), q_block)).astype(np.int64)
-                low_of, high_of = np.concatenate((own, np.repeat(low - share, spans))), np.concatenate((own, np.repeat(high + share, spans)))
-                is_query = np.concatenate((np.zeros(len(x), bool), np.ones(len(q), bool)))
-                none = pa.array([[]], pa.list_(pa.int64()))
-                names = pa.concat_arrays([ids.take(pa.array(every_row)), none.take(pa.array(np.zeros(len(q), int)))]) if len(q) else ids
-                yield pa.RecordBatch.from_arrays([pa.array(block * len(c.marks) + curve), pa.array(is_query), vec.take(pa.array(pick)), tag.take(pa.array(pick)), names, pa.array(low_of), pa.array(high_of)], names=["block", "asks", "vec", "tag", "ids", "low", "high"])
-
-    placed = rows.select("vec", "tag", "ids", "asks").mapInArrow(place, "block long, asks boolean, vec binary, tag long, ids array<long>, low double, high double")
-
-    def rank(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        q_at, c_at = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out = {"vec": [], "ids": [], "scores": []}
-        if len(q_at) and len(c_at):
-            column = table.column("vec").combine_chunks()
-            low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-            cand, where, names = wide(column.take(pa.array(c_at))), low[c_at], table.column("ids").combine_chunks().take(pa.array(c_at)).to_pylist()
-            for at in range(0, len(q_at), 512):
-                own = q_at[at : at + 512]
-                q = wide(column.take(pa.array(own)))
+                q = np.repeat(np.arange(len(x)), spans)
+                block = np.repeat(first, spans) + np.arange(len(q)) - np.repeat(np.cumsum(spans) - spans, spans)
+                for at in range(0, len(q), 1 << 14):
+                    own = q[at : at + (1 << 14)]
+                    pick = pa.array(own)
+                    yield pa.RecordBatch.from_arrays([task_of(block[at : at + (1 << 14)], (hashes[own] % np.uint64(slices)).astype(np.int64), curve), pa.array(np.ones(len(own), bool)), vec.take(pick), tag.take(pick), pa.array([[]], pa.list_(pa.int64())).take(pa.array(np.zeros(len(own), int))), pa.array(low[own]), pa.array(high[own])], names=["task", "asks", "vec", "tag", "ids", "low", "high"])
+
+    entry = pa.struct([("d", pa.float64()), ("i", pa.int64()), ("c", pa.int32()), ("t", pa.int64())])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by task, its candidates before its queries."""
+        task, held = None, []
+        cand = where = tags = names = firsts = None
+
+        def answer(rows: pa.RecordBatch) -> pa.RecordBatch:
+            low, high = rows.column(5).to_numpy(), rows.column(6).to_numpy()
+            asked_at, sizes, out = [], [], []
+            for at in range(0, rows.num_rows, 512):
+                q = wide(rows.column(2).slice(at, 512))
                 near = q @ cand.T
-                near[(where[None, :] < low[own][:, None]) | (where[None, :] > high[own][:, None])] = -np.inf
-                m = min(k + 12, near.shape[1])
-                best = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                exact = (q[:, None, :] * cand[best]).sum(axis=2)
-                for j in range(len(own)):
-                    met = sorted((-s, i) for s, b in zip(exact[j].tolist(), best[j].tolist()) if near[j, b] > -np.inf for i in names[b])[: k + 1]
+                near[(where[None, :] < low[at : at + 512, None]) | (where[None, :] > high[at : at + 512, None])] = -np.inf
+                for j, (best, scores) in enumerate(nearest(q, cand, near, firsts, k + 1)):
+                    met = sorted((-s, i, r - names[b].index(i), int(tags[b])) for b, s in zip(best.tolist(), scores.tolist()) for r, i in enumerate(names[b]))[: k + 1]
                     if met:
-                        out["vec"].append(column[int(own[j])].as_py())
-                        out["ids"].append([i for _, i in met])
-                        out["scores"].append([-s for s, _ in met])
-        return pa.table([pa.array(out["vec"], pa.binary()), pa.array(out["ids"], pa.list_(pa.int64())), pa.array(out["scores"], pa.list_(pa.float64()))], names=["vec", "ids", "scores"])
-
-    ranked = placed.groupBy("block").applyInArrow(rank, "vec binary, ids array<long>, scores array<double>")
-    one = F.arrays_zip(F.transform("scores", lambda s: -s).alias("d"), F.col("ids").alias("i"))
-    merged = ranked.select("vec", one.alias("m")).groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("m")))), 1, k + 1).alias("m"))
-    met = queries.join(merged, "vec").select("query_id", F.filter("m", lambda x: x["i"] != F.col("query_id")).alias("m"))
+                        asked_at.append(at + j)
+                        sizes.append(len(met))
+                        out += met
+            flat = [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(entry), (f.type for f in entry))]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.StructArray.from_arrays(flat, fields=list(entry)))
+            return pa.RecordBatch.from_arrays([pa.array([task] * len(sizes), pa.int64()), rows.column(2).take(pa.array(asked_at, pa.int64())), lists], names=["task", "vec", "m"])
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            asks = batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (asks[1:] != asks[:-1]), [True])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if task != keys[a]:
+                    task, held, cand = int(keys[a]), [], None
+                if not asks[a]:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                if not held:
+                    continue
+                if cand is None:
+                    block = pa.Table.from_batches(held).combine_chunks()
+                    cand, where = wide(block.column("vec")), block.column("low").to_numpy()
+                    tags, names = block.column("tag").to_numpy(), block.column("ids").to_pylist()
+                    firsts = np.array([x[0] for x in names])
+                yield answer(batch.slice(a, b - a))
+
+    placed = rows.select("vec", "ids", "tag").mapInArrow(place, placed_as).union(asked.select("vec", "tag").mapInArrow(ask, placed_as))
+    ranked = placed.repartition("task").sortWithinPartitions("task", "asks").mapInArrow(rank, "task long, vec binary, m array<struct<d:double,i:long,c:int,t:long>>")
+    # A candidate met on several curves counts once; of very many blocks the hits are merged in two steps.
+    merge = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("m")))), 1, k + 1).alias("m")
+    if blocks > MERGE_BLOCKS:
+        ranked = ranked.groupBy("vec", F.pmod(F.floor(F.col("task") / n_curves), F.lit(MERGE_BLOCKS)).alias("_part")).agg(merge)
+    merged = ranked.groupBy("vec").agg(merge).withColumn("tag", F.xxhash64("vec"))
+    own = lambda x: (x["t"] == F.col("tag")) & (x["i"] == F.col("query_id")) & (x["c"] == 0)
+    met = queries.join(merged, "vec").select("query_id", F.filter("m", lambda x: ~own(x)).alias("m"))
     flat = met.select("query_id", F.posexplode(F.slice("m", 1, k)).alias("rank", "x"))
     return flat.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.d")).alias("score"))
 
 
-def tune(rows: DataFrame, curves: Curves, wide, k: int, target: float, shares: tuple[float, ...]) -> float:
+def tune(rows: DataFrame, queries: DataFrame, curves: Curves, wide, k: int, target: float, shares: tuple[float, ...]) -> float:
     """The least share of the table on either side that finds target of the true nearest of a few queries."""
-    asked = wide(rows.where("asks").orderBy("tag", "vec").limit(SAMPLE_QUERIES).select("vec").toArrow().column("vec"))
+    asked = wide(queries.orderBy("tag", "vec").limit(SAMPLE_QUERIES).select("vec").toArrow().column("vec"))
     if not len(asked):
         return shares[0]
     shared = rows.sparkSession.sparkContext.broadcast(asked)
