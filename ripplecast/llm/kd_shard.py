@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import bucket_count, drop_scratch, hash62, running_before, scratch, shielded
+from ripplecast.llm.common import bucket_count, drop_scratch, hash62, join_hot, running_before, scratch, shielded
 
 SHARDS, ROW_BYTES = 24, 8
 ROUND_BITS, ROUNDS = 13, 4
@@ -34,14 +34,14 @@ def with_group(docs: DataFrame) -> DataFrame:
 
 
 def coordinates(rows: DataFrame) -> DataFrame:
-    """One row a group: weight and its 52-bit coordinate in each dimension (20 bits of value, 32 of hash)."""
+    """One row a group: weight, number of rows and its 52-bit coordinate in each dimension (20 bits of value, 32 of hash)."""
     slot = F.lit((1 << 20) - 1)
     named = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) / F.lit(float(1 << 32))
     units = {"length": F.log2(F.lit(1.0) + F.col("_size")) / F.lit(48.0), "lang": named("lang"), "source": named("source")}
     tie = F.shiftrightunsigned("_group", 64 - TIE_BITS)
-    groups = rows.groupBy("_group").agg(F.sum("_size").alias("weight"), F.min("_size").alias("_size"), F.min("lang").alias("lang"), F.min("source").alias("source"))
+    groups = rows.groupBy("_group").agg(F.sum("_size").alias("weight"), F.min("_size").alias("_size"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.count("*").alias("times"))
     key = lambda u: F.shiftleft(F.floor(F.least(u, F.lit(1.0)) * slot).cast("long"), TIE_BITS) + tie
-    return groups.select("_group", "weight", *[key(units[d]).alias(d) for d in DIMS])
+    return groups.select("_group", "weight", "times", *[key(units[d]).alias(d) for d in DIMS])
 
 
 def by_node(node: Column, values: dict[int, Column]) -> Column:
@@ -88,7 +88,7 @@ def split_level(cells: DataFrame, shards_of: dict[int, int], first: dict[int, in
 
 
 def shard_groups(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(_group, shard) for every group of rows."""
+    """(_group, times, shard) for every group of rows."""
     cells = scratch(coordinates(rows).withColumn("node", F.lit(1)))
     shards_of, first = {1: shards}, {1: 0}
     while any(s > 1 for s in shards_of.values()):
@@ -97,7 +97,7 @@ def shard_groups(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
         split = scratch(split)
         drop_scratch(cells)
         cells = split
-    return cells.select("_group", by_node(F.col("node"), {n: F.lit(f) for n, f in first.items()}).cast("int").alias("shard"))
+    return cells.select("_group", "times", by_node(F.col("node"), {n: F.lit(f) for n, f in first.items()}).cast("int").alias("shard"))
 
 
 @shielded("doc_id", "text", "lang", "source")
@@ -105,9 +105,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs plus _size, _crc, _group, shard and slot (gapless from 0 in each shard)."""
     rows = with_group(docs)
     slim = scratch(rows.select("_group", "_size", "lang", "source"))
-    groups = scratch(shard_groups(slim, shards)).withColumnRenamed("_group", "_g")
+    groups = scratch(shard_groups(slim, shards))
     few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    placed = rows.join(F.broadcast(groups) if few else groups, F.col("_group") == F.col("_g")).drop("_g")
+    placed = rows.join(F.broadcast(groups.drop("times")), "_group") if few else join_hot(rows, groups, "_group", "times").drop("times")
     placed = placed.withColumns({"_one": F.lit(1).cast("long"), "_order": hash62(F.col("doc_id"), F.col("_group"))})
     out = running_before(placed, ["shard"], ["_order", "doc_id", "_group"], "_one", bucket_count(slim.count() // shards), "slot")
     drop_scratch(slim)
@@ -117,8 +117,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     slim = scratch(with_group(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_size", "_crc", "_group", "lang", "source"))
     # Everything below needs the text no more: its group stands for it.
-    groups = shard_groups(slim, shards).withColumnRenamed("_group", "_g")
-    placed = slim.join(groups, F.col("_group") == F.col("_g")).drop("_g")
+    placed = join_hot(slim, shard_groups(slim, shards), "_group", "times").drop("times")
     placed = scratch(placed.withColumns({"_one": F.lit(1).cast("long"), "_order": hash62(F.col("doc_id"), F.col("_group"))}))
     out = running_before(placed, ["shard"], ["_order", "doc_id", "_group"], "_one", bucket_count(placed.count() // shards), "slot")
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

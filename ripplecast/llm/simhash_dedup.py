@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplecast.llm.common import drop_scratch, scratch, shielded, sliced, text_bytes
+from ripplecast.llm.common import drop_scratch, join_hot, scratch, shielded, sliced, text_bytes
 from ripplecast.llm.components import components
 
 WORDS, RADIUS, SHARD_LIMIT = 4, 4, 4096
@@ -206,15 +206,17 @@ def rest_links(sets: list[bytes], links: list[tuple[int, int]], n_tree: int | No
     return found
 
 
-def shard_links(rows: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, least: float | None = None) -> DataFrame:
-    """rows (shard, node, fp, extra) -> links (a, b) of nodes that span each shard's graph of fps within radius,
-    or, with least, of extras (sets of shingles) of that similarity, whatever their fps.  A node is on a shard once."""
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.length("extra")).alias("bytes")).where("n > 1")
-    sizes = sizes.select("shard", F.greatest(F.ceil(F.col("n") / shard_limit), F.ceil(F.col("bytes") / SET_BYTES)).cast("int").alias("slices"))
-    rows = rows.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("slices")).cast("int"))
+def shard_links(rows: DataFrame, radius: int, shard_limit: int = SHARD_LIMIT, least: float | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """rows (shard, node, fp, bytes) -> links (a, b) of nodes that span each shard's graph of fps within radius,
+    or, with least, of the sets (node, extra: shingles; bytes of them) of that similarity, whatever their fps.  A node is on
+    a shard once."""
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1")
+    sizes = scratch(sizes.select("shard", "n", F.greatest(F.ceil(F.col("n") / shard_limit), F.ceil(F.col("bytes") / SET_BYTES)).cast("int").alias("slices")))
+    rows = join_hot(rows.drop("bytes"), sizes, "shard", "n").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("slices")).cast("int"))
     # One row for each pair of slices (lo <= hi) that the node's own slice is part of.
     pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("lo"), F.greatest(j, F.col("own")).alias("hi")))
-    rows = rows.select("node", "fp", "extra", "shard", "own", F.explode(pairs).alias("p")).select(F.xxhash64("shard", "p.lo", "p.hi").alias("task"), "node", "fp", "extra", (F.col("own") == F.col("p.lo")).alias("in_tree"), (F.col("p.lo") == F.col("p.hi")).alias("alone"))
+    rows = rows.select("node", "fp", "shard", "own", F.explode(pairs).alias("p")).select(F.xxhash64("shard", "p.lo", "p.hi").alias("task"), "node", "fp", (F.col("own") == F.col("p.lo")).alias("in_tree"), (F.col("p.lo") == F.col("p.hi")).alias("alone"))
+    rows = rows.withColumn("extra", F.lit(None).cast("binary")) if sets is None else rows.join(sets, "node").select("task", "node", "fp", "in_tree", "alone", "extra")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -264,19 +266,19 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard_limit: int
     masks = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(signed(m)).alias("mask")) for i, m in enumerate(field_masks(radius))])
     rows = prints.select("fp", F.explode(masks).alias("m"))
     shard = F.xxhash64(F.col("m.kind"), F.col("fp").bitwiseAND(F.col("m.mask"))).alias("shard")
-    return shard_links(rows.select(shard, F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("extra")), radius, shard_limit)
+    return shard_links(rows.select(shard, F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("bytes")), radius, shard_limit)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, sig, root, fingerprint, component_id), one row a document; root names the component."""
     prints = scratch(with_fingerprint(docs, words))
-    nodes = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = scratch(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")))
     owner = components(fingerprint_links(nodes.select("fp"), radius))
     named = nodes.join(owner.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "root").select("fp", "root", "component_id")
+    ids = scratch(named.join(least, "root").select("fp", "root", "component_id", "times"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(ids, "fp").withColumn("fingerprint", text)
+    return join_hot(prints, ids, "fp", "times").drop("times").withColumn("fingerprint", text)
 
 
 def with_mins(docs: DataFrame, words: int) -> DataFrame:
@@ -326,20 +328,20 @@ def similar_texts(docs: DataFrame, words: int = 5) -> DataFrame:
     (0.2 ** MINS); each such shingle is a shard, which gets the whole sets of its texts.
     """
     prints = scratch(with_mins(docs, words))
-    nodes = scratch(prints.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.min("doc_id").alias("least")))
+    nodes = scratch(prints.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("mins").alias("mins"), F.min("doc_id").alias("least"), F.count("*").alias("times")))
     exploded = nodes.select("sig", F.posexplode("mins").alias("kind", "least")).select(F.xxhash64("kind", "least").alias("shard"), "sig")
-    shared = exploded.groupBy("shard").count().where("count > 1").select("shard")
-    rows = scratch(exploded.join(shared, "shard", "left_semi"))
+    shared = scratch(exploded.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = scratch(join_hot(exploded, shared, "shard", "n").drop("n"))
     # Each text once, by the least row that has it.
     needed = nodes.join(rows.select("sig"), "sig", "left_semi").select(F.col("sig").alias("_sig"), "least", "fp")
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_sig().alias("sig"))
     texts = own.join(needed, own["doc_id"].eqNullSafe(needed["least"]) & (own["sig"] == needed["_sig"]), "left_semi")
     sets = scratch(with_set(texts.dropDuplicates(["doc_id", "sig"]), words))
-    held = rows.join(nodes.select("sig", "fp"), "sig").join(sets, "sig").select("shard", F.col("sig").alias("node"), "fp", "extra")
-    owner = components(shard_links(held, WIDE, least=SIMILARITY))
-    drop_scratch(rows, sets)
-    met = prints.select("doc_id", "sig").join(owner.toDF("sig", "root"), "sig", "left")
-    return met.select("doc_id", "sig", F.coalesce("root", "sig").alias("root"))
+    held = rows.join(nodes.select("sig", "fp"), "sig").join(sets.select("sig", F.length("extra").cast("long").alias("bytes")), "sig")
+    owner = components(shard_links(held.select("shard", F.col("sig").alias("node"), "fp", "bytes"), WIDE, least=SIMILARITY, sets=sets.withColumnRenamed("sig", "node")))
+    drop_scratch(rows, sets, shared)
+    named = scratch(nodes.select("sig", "times").join(owner.toDF("sig", "root"), "sig", "left").select("sig", "times", F.coalesce("root", "sig").alias("root")))
+    return join_hot(prints.select("doc_id", "sig"), named, "sig", "times").select("doc_id", "sig", "root")
 
 
 @shielded("doc_id", "text")

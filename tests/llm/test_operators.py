@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from ripplecast.llm import brown_lm, chat_format, decontaminate, hilbert_ann, kd_shard, mixing, quality_knn, secret_scan, simhash_dedup, toxicity
+from ripplecast.llm.common import join_hot
 from ripplecast.llm.components import components
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _size string"
@@ -130,9 +132,10 @@ def test_shards_link_similar_sets_beyond_the_radius(spark):
     base = np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64))
     sets = [base[k:].tobytes() for k in (0, 5, 40)] + [np.sort(rng.integers(0, 1 << 63, 90).astype(np.uint64)).tobytes()]
     fps = [0, -1, 255, 1 << 40]
-    frame = spark.createDataFrame([(1, k, fps[k], bytearray(sets[k])) for k in range(4)], "shard long, node long, fp long, extra binary")
+    held = spark.createDataFrame([(k, bytearray(sets[k])) for k in range(4)], "node long, extra binary")
+    frame = spark.createDataFrame([(1, k, fps[k], len(sets[k])) for k in range(4)], "shard long, node long, fp long, bytes long")
     for limit in (4096, 1):
-        links = simhash_dedup.shard_links(frame, 20, limit, 0.8).collect()
+        links = simhash_dedup.shard_links(frame, 20, limit, 0.8, held).collect()
         assert {tuple(sorted((r.a, r.b))) for r in links} == {(0, 1)}
 
 
@@ -355,6 +358,28 @@ def test_neighbours(spark):
     assert hilbert_ann.search(frame.where("false")).count() == 0
 
 
+def brute_neighbours(rows, every=20, k=20):
+    """(query_id, rank, vec_id, score) by all products of whole numbers, so that ties are exact."""
+    out = []
+    for a, (q, x) in enumerate(rows):
+        if q % every == 0:
+            best = sorted((-sum(s * t for s, t in zip(x, y)), i) for b, (i, y) in enumerate(rows) if a != b)[:k]
+            out += [(q, n, i, float(-d)) for n, (d, i) in enumerate(best, 1)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("how", [{}, {"block_rows": 8}, {"block_rows": 8, "slice_queries": 2}])
+def test_neighbours_with_ties_and_repeated_ids(spark, how):
+    rng = random.Random(3)
+    rows = [(k, [float(rng.choice((0, 0, 0, 1))) for _ in range(8)]) for k in range(130)]
+    rows = [(k, x if any(x) else [1.0] * 8) for k, x in rows]
+    rows += [(40, rows[40][1]), (40, [1.0, 2.0] * 4), (40, [1.0, 2.0] * 4), (60, rows[61][1])] + [(200 + k, [3.0] * 8) for k in range(30)]
+    frame = spark.createDataFrame([(k, x, "x") for k, x in rows], "vec_id long, embedding array<float>, tag string").repartition(3)
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in hilbert_ann.search(frame, shares=(1.0,), **how).collect())
+    assert got == brute_neighbours(rows)
+    assert hilbert_ann.search(spark.createDataFrame([(20, None, "x"), (40, [0.0], "x")], frame.schema)).count() == 0
+
+
 def test_hilbert_steps_are_neighbours():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     path = grid[np.argsort(hilbert_ann.hilbert_key(grid, 3))]
@@ -387,6 +412,37 @@ def test_classifiers(spark):
         assert report(docs, labels.where("false")).count() == len(got)
 
 
+def test_marginals_of_a_whole_chain(monkeypatch):
+    """Documents of several stretches against the sum over all taggings."""
+    monkeypatch.setattr(toxicity, "SPAN", 4)
+    rng, crf = np.random.default_rng(2), toxicity.CRF()
+    crf.moves, crf.bias, crf.weights = rng.normal(size=(2, 2)), 0.3, rng.normal(size=1 << toxicity.HASH_BITS) / 2
+    texts = [b"a b c d e f g h i j", b"x", b"", b"p q r s", b"t u v w z y"]
+    p, _, _, owner = crf.tag(texts)
+    scores = crf.emissions(toxicity.tokens_of(texts)[0])
+    for d in range(len(texts)):
+        own = np.flatnonzero(owner == d)
+        taggings = np.array(list(itertools.product((0, 1), repeat=len(own))))
+        weight = np.exp([scores[own] @ y + sum(crf.moves[a, b] for a, b in zip(y, y[1:])) for y in taggings])
+        assert np.allclose(p[own], weight @ taggings / weight.sum())
+
+
+def test_a_giant_text_does_not_empty_the_sample(spark):
+    docs, labels, _ = labelled(spark, 200)
+    giant = spark.createDataFrame([(k, "zorg " * 3_000_000) for k in (9_000, 9_001, 9_002)], "doc_id long, text string")
+    told = spark.createDataFrame([(k, 1, 1) for k in (9_000, 9_001, 9_002)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(docs.union(giant), labels.union(told)).calibration[0] > -30
+
+
+def test_join_keeps_hot_keys_apart(spark):
+    rows = spark.createDataFrame([(k % 7 if k < 40 else 9, k) for k in range(100)], "key long, n long")
+    found = spark.createDataFrame([(k, 60 if k == 9 else 6, f"v{k}") for k in (0, 1, 2, 9)], "key long, times long, value string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(found, "key", how).collect()), key=repr)
+        for limit in (5, 50, 500):
+            assert sorted(map(tuple, join_hot(rows, found, "key", "times", how, limit).collect()), key=repr) == want
+
+
 def test_toxic_offsets(spark):
     docs, labels, truth = labelled(spark)
     text = {r.doc_id: r.text for r in docs.collect()}
