@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ripplecast.functions.randomness import u01
 from ripplecast.operators.lineage import stable
-from ripplecast.operators.logs import first_adoption
-from ripplecast.operators.model import grid
+from ripplecast.operators.logs import first_adoption, least_hashed
+from ripplecast.operators.model import grid, vector, with_each
 
 LOW = 1e-9
 
@@ -17,12 +17,16 @@ def clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(LOW)), F.lit(1 - LOW))
 
 
-def trials(adoptions: DataFrame, edges: DataFrame, positives: DataFrame) -> DataFrame:
-    """(u, v, i, y): logs are successes; other out-edges of an item's adopters are failures."""
+def trials(adoptions: DataFrame, edges: DataFrame, positives: DataFrame, per_positive: int | None = None, seed: int = 0) -> DataFrame:
+    """(u, v, i, y): logs are successes; other out-edges of an item's adopters are failures, per_positive for each of
+    the item's successes at most, a uniform sample by seeded hash order."""
     pos = positives.select("u", "v", "i").distinct()
     items = pos.select("i").distinct()
     adopters = first_adoption(adoptions).join(items, "i", "left_semi").select("u", "i")
     neg = adopters.join(edges.select("u", "v").distinct(), "u").select("u", "v", "i").join(pos, ["u", "v", "i"], "left_anti")
+    if per_positive is not None:
+        caps = pos.groupBy("i").agg((F.count("*") * per_positive).alias("cap"))
+        neg = least_hashed(neg, "i", caps, u01(seed, F.col("u"), F.col("v"), F.col("i")), ["u", "v"])
     return pos.withColumn("y", F.lit(1)).union(neg.withColumn("y", F.lit(0)))
 
 
@@ -40,31 +44,40 @@ def initial(tr: DataFrame, Z: int, seed: int) -> tuple[DataFrame, DataFrame, Dat
 
 
 def responsibilities(tr: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame) -> DataFrame:  # noqa: E741
-    """(u, v, i, y, z, a, b, w): joint weight of each trial and topic."""
-    rows = tr.join(A.toDF("u", "z", "a"), "u").join(I.toDF("v", "z", "b"), ["v", "z"]).join(gamma.toDF("i", "z", "g"), ["i", "z"])
-    ab = F.col("a") * F.col("b")
-    return rows.withColumn("w", F.col("g") * F.when(F.col("y") == 1, ab).otherwise(1 - ab))
+    """(u, v, i, y, a, b, w): each trial with its ends' parameters and its joint weights, arrays over topics."""
+    ab = vector(A, "u", "z").toDF("u", "a"), vector(I, "v", "z").toDF("v", "b")
+    rows = tr.join(ab[0], "u").join(ab[1], "v").join(vector(gamma, "i", "z").toDF("i", "g"), "i")
+    both = F.zip_with("a", "b", lambda x, y: F.when(F.col("y") == 1, x * y).otherwise(1 - x * y))
+    return rows.select("u", "v", "i", "y", "a", "b", F.zip_with("g", both, lambda g, x: g * x).alias("w"))
+
+
+def total(values: str) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
 def log_posterior(tr: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame, prior_a: float = 0.5, prior_b: float = 1.5, prior_gamma: float = 0.5) -> float:  # noqa: E741
-    like = responsibilities(tr, A, I, gamma).groupBy("u", "v", "i", "y").agg(F.sum("w").alias("s")).agg(F.sum(F.ln(F.greatest("s", F.lit(LOW)))).alias("l")).first()[0] or 0.0
+    like = responsibilities(tr, A, I, gamma).agg(F.sum(F.ln(F.greatest(total("w"), F.lit(LOW)))).alias("l")).first()[0] or 0.0
     beta = lambda df: df.agg(F.sum(prior_a * F.ln(F.greatest("p", F.lit(LOW))) + prior_b * F.ln(F.greatest(1 - F.col("p"), F.lit(LOW))))).first()[0] or 0.0
     g = gamma.agg(F.sum(prior_gamma * F.ln(F.greatest("p", F.lit(LOW))))).first()[0] or 0.0
     return like + beta(A) + beta(I) + g
 
 
-def em_step(tr: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame, prior_a: float = 0.5, prior_b: float = 1.5, prior_gamma: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: E741
-    """One closed-form sweep: the trial totals are one aggregation, each parameter another."""
-    rows = responsibilities(tr, A, I, gamma)
-    total = rows.groupBy("u", "v", "i").agg(F.sum("w").alias("t"))
-    rows = rows.join(total, ["u", "v", "i"]).withColumn("r", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0))
-    miss = 1 - F.col("a") * F.col("b")
-    hidden = lambda x, y: F.when(F.col("y") == 1, F.col("r")).when(miss > LOW, F.col("r") * F.col(x) * (1 - F.col(y)) / miss).otherwise(0.0)
-    rows = rows.withColumn("na", hidden("a", "b")).withColumn("nb", hidden("b", "a"))
-    part = lambda key, num: rows.groupBy(key, "z").agg(((F.sum(num) + prior_a) / (F.sum("r") + prior_a + prior_b)).alias("p")).select(key, "z", clamp(F.col("p")).alias("p"))
-    g = rows.groupBy("i", "z").agg((F.sum("r") + prior_gamma).alias("p"))
-    norm = g.groupBy("i").agg(F.sum("p").alias("t"))
-    return part("u", "na"), part("v", "nb"), g.join(norm, "i").select("i", "z", (F.col("p") / F.col("t")).alias("p"))
+def em_step(tr: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame, Z: int, prior_a: float = 0.5, prior_b: float = 1.5, prior_gamma: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: E741
+    """One closed-form sweep: a trial is one row whatever the number of topics, and each parameter one aggregation of it."""
+    rows = responsibilities(tr, A, I, gamma).withColumn("t", total("w"))
+    rows = rows.withColumn("r", F.transform("w", lambda x: F.when(F.col("t") > 0, x / F.col("t")).otherwise(0.0)))
+    # A failure counts for a topic by the chance that this side would have done its part, the other not.
+    part_of = lambda x, y: F.zip_with(F.zip_with(x, y, lambda p, q: F.when(1 - p * q > LOW, p * (1 - q) / (1 - p * q)).otherwise(0.0)), "r", lambda share, r: F.when(F.col("y") == 1, r).otherwise(r * share))
+    rows = stable(rows.select("u", "v", "i", "r", part_of("a", "b").alias("na"), part_of("b", "a").alias("nb")))
+    sums = lambda name: F.array(*[F.sum(F.get(F.col(name), F.lit(z))) for z in range(Z)])
+
+    def part(key: str, num: str) -> DataFrame:
+        found = rows.groupBy(key).agg(sums(num).alias("n"), sums("r").alias("d"))
+        flat = found.select(key, F.posexplode(F.zip_with("n", "d", lambda n, d: (n + prior_a) / (d + prior_a + prior_b))).alias("z", "p"))
+        return flat.select(key, "z", clamp(F.col("p")).alias("p"))
+
+    g = rows.groupBy("i").agg(F.transform(sums("r"), lambda x: x + prior_gamma).alias("g"))
+    return part("u", "na"), part("v", "nb"), g.select("i", F.posexplode(F.transform("g", lambda x: x / total("g"))).alias("z", "p"))
 
 
 def fit(tr: DataFrame, Z: int, sweeps: int, seed: int, tol: float = 1e-4) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
@@ -73,7 +86,7 @@ def fit(tr: DataFrame, Z: int, sweeps: int, seed: int, tol: float = 1e-4) -> tup
     A, I, gamma = (stable(x) for x in initial(tr, Z, seed))  # noqa: E741
     seen = [log_posterior(tr, A, I, gamma)]
     for _ in range(sweeps):
-        A, I, gamma = (stable(x) for x in em_step(tr, A, I, gamma))  # noqa: E741
+        A, I, gamma = (stable(x) for x in em_step(tr, A, I, gamma, Z))  # noqa: E741
         seen.append(log_posterior(tr, A, I, gamma))
         if seen[-1] - seen[-2] < tol * max(1.0, abs(seen[-2])):
             break
@@ -82,11 +95,9 @@ def fit(tr: DataFrame, Z: int, sweeps: int, seed: int, tol: float = 1e-4) -> tup
 
 def edge_weights(edges: DataFrame, items: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame, Z: int) -> DataFrame:  # noqa: E741
     """(item, u, v, pp) for every edge and item: sum of gamma A I, clamped; unseen users and items take 0.25 and 1/Z."""
-    from ripplecast.operators.model import vector
-
     flat = lambda p: F.array_repeat(F.lit(p), Z)
     a, b = vector(A, "u", "z").toDF("u", "a"), vector(I, "v", "z").toDF("v", "b")
     g = items.select("item").join(vector(gamma, "i", "z").toDF("item", "g"), "item", "left").select("item", F.coalesce("g", flat(1.0 / Z)).alias("g"))
     rows = edges.join(a, "u", "left").join(b, "v", "left").select("u", "v", F.zip_with(F.coalesce("a", flat(0.25)), F.coalesce("b", flat(0.25)), lambda x, y: x * y).alias("ab"))
     dot = F.aggregate(F.zip_with("ab", "g", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return rows.crossJoin(g).select("item", "u", "v", F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0)).alias("pp"))
+    return with_each(rows, g).select("item", "u", "v", F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0)).alias("pp"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplecast.functions.randomness import u01
@@ -39,6 +39,21 @@ def cap_per_item(logs: DataFrame, cap: int, seed: int) -> DataFrame:
     return logs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
 
 
+def least_hashed(rows: DataFrame, by: str, caps: DataFrame, h: Column, ties: list[str], cells: int = 1024) -> DataFrame:
+    """The cap rows of each by (caps: by, cap) that have the least h (in [0, 1)), ties by ties.
+
+    A key's rows fall into cells of h; only the cell that the cap cuts is ranked, so no task sorts all rows of a key.
+    """
+    keyed = stable(rows.withColumn("_h", h).withColumn("_cell", F.floor(F.col("_h") * cells).cast("int")))
+    sizes = keyed.groupBy(by, "_cell").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = sizes.withColumn("_before", before).join(caps.select(by, "cap"), by).where("_before < cap").select(by, "_cell", "_n", (F.col("cap") - F.col("_before")).alias("_room"))
+    met = keyed.join(room, [by, "_cell"])
+    rank = F.row_number().over(Window.partitionBy(by, "_cell").orderBy("_h", *ties))
+    cut = met.where("_n > _room").withColumn("_r", rank).where("_r <= _room")
+    return met.where("_n <= _room").select(*rows.columns).union(cut.select(*rows.columns))
+
+
 def split_logs(logs: DataFrame, seed: int) -> DataFrame:
     """logs plus split: int(.6 n) train, int(.2 n) valid, the rest test, by seeded hash order.
 
@@ -59,6 +74,19 @@ def activity(adoptions: DataFrame) -> DataFrame:
     return adoptions.groupBy("u").agg(F.count("*").alias("n"))
 
 
+def popularity(first: DataFrame, descending: bool = True) -> DataFrame:
+    """(i, decile): 0 to 9 by the item's rank among all by adopters, ties to the lower id.
+
+    Ranks come from the counts of items a number of adopters, so few rows are in the global window.
+    """
+    n = first.groupBy("i").agg(F.count("*").alias("n"))
+    steps = n.groupBy("n").agg(F.count("*").alias("c"))
+    order = F.desc("n") if descending else F.asc("n")
+    before = steps.select("n", F.coalesce(F.sum("c").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("total"))
+    r = F.row_number().over(Window.partitionBy("n").orderBy("i")) - 1 + F.col("before")
+    return n.join(F.broadcast(before), "n").select("i", F.least(F.lit(9), F.floor(r * 10 / F.col("total"))).cast("long").alias("decile"))
+
+
 def top_items(adoptions: DataFrame, k: int) -> DataFrame:
     """The k items of most adopters, ties to the lower id."""
     return first_adoption(adoptions).groupBy("i").agg(F.count("*").alias("adopters")).orderBy(F.desc("adopters"), "i").limit(k)

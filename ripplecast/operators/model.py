@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplecast.operators.lineage import stable
+
 
 @dataclass(frozen=True)
 class Hyper:
@@ -108,13 +110,29 @@ def vector(rows: DataFrame, key: str, at: str) -> DataFrame:
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, "p"))), lambda x: x["p"]).alias("p"))
 
 
-def edge_weights(edges: DataFrame, items: DataFrame, pi_: DataFrame, eta_: DataFrame, theta_: DataFrame, phi_: DataFrame) -> DataFrame:
+FEW = 4096
+
+
+def with_each(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row with every row of few, as the result has them all; few is broadcast up to FEW rows (counted)."""
+    few = stable(few)
+    return rows.crossJoin(F.broadcast(few) if few.count() <= FEW else few)
+
+
+def largest(pi_: DataFrame, top_c: int) -> DataFrame:
+    """pi with all but each user's top_c largest shares at 0, ties to the lowest community; not normalised again."""
+    rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("p"), "c"))
+    return pi_.withColumn("_r", rank).select("v", "c", F.when(F.col("_r") <= top_c, F.col("p")).otherwise(0.0).alias("p"))
+
+
+def edge_weights(edges: DataFrame, items: DataFrame, pi_: DataFrame, eta_: DataFrame, theta_: DataFrame, phi_: DataFrame, top_c: int = 0) -> DataFrame:
     """(item, u, v, pp, raw): the factorised sum over communities for every edge and item, clamped to [0, 1].
 
     Each user's row is carried once as an array: a source's is multiplied by eta before the join, an
-    item's theta is averaged over its topics, and an edge is one product of three arrays.
+    item's theta is averaged over its topics, and an edge is one product of three arrays.  With top_c above 0
+    the weights are approximate: only that many communities of a user count.
     """
-    rows = vector(pi_, "v", "c")
+    rows = vector(largest(pi_, top_c) if top_c > 0 else pi_, "v", "c")
     into = vector(eta_.select("c", "cp", "p"), "c", "cp")
     into = into.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "p"))), lambda x: x["p"]).alias("eta"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -122,7 +140,7 @@ def edge_weights(edges: DataFrame, items: DataFrame, pi_: DataFrame, eta_: DataF
     bar = phi_.join(items.select(F.col("item").alias("i")), "i", "left_semi").join(theta_.toDF("c", "z", "t"), "z").groupBy(F.col("i").alias("item"), "c").agg(F.sum(F.col("p") * F.col("t")).alias("p"))
     bar = vector(bar, "item", "c").withColumnRenamed("p", "bar")
     met = edges.join(source, "u").join(rows, "v").select("u", "v", F.zip_with("a", "p", lambda x, y: x * y).alias("ap"))
-    raw = met.crossJoin(bar).select("item", "u", "v", dot(F.col("ap"), F.col("bar")).alias("raw"))
+    raw = with_each(met, bar).select("item", "u", "v", dot(F.col("ap"), F.col("bar")).alias("raw"))
     return raw.select("item", "u", "v", F.least(F.greatest("raw", F.lit(0.0)), F.lit(1.0)).alias("pp"), "raw")
 
 

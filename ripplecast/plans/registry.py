@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplecast.functions.randomness import u01, u01_sql
 from ripplecast import harness
-from ripplecast.operators import air, cascade, communities, gibbs, graph, logs, model, spread, subsample
+from ripplecast.operators import air, cascade, communities, gibbs, graph, logs, model, spread, subsample, summary
 from ripplecast.operators.lineage import stable
 from ripplecast.plans import derived as d
 from ripplecast.plans.derived import C, DELTA, Z, sql
@@ -129,13 +129,16 @@ def degree_stats(s, p):
     return graph.degree_stats(d.edges(s, p), d.users(s, p))
 
 
-@query("""SELECT (SELECT count(*) FROM users) AS n_users, (SELECT count(*) FROM edge) AS n_links, (SELECT count(*) FROM adoptions) AS n_logs,
- (SELECT count(DISTINCT u) FROM adopt) AS n_adopters, (SELECT count(DISTINCT i) FROM adopt) AS n_items, (SELECT min(t) FROM adopt) AS t_min, (SELECT max(t) FROM adoptions) AS t_max,
- (SELECT count(*) FROM edge)/((SELECT count(*) FROM users)*((SELECT count(*) FROM users)-1.0)) AS density""")
+DEGREES = ", ".join(f"(SELECT {f} FROM deg WHERE d='{d}') AS {d}_deg_{n}" for d in ("out", "in") for n, f in (("mean", "avg(n)"), ("median", "median(n)"), ("max", "max(n)"), ("min", "min(n)"), ("zeros", "count(*) FILTER (n=0)")))
+
+
+@query(f"""SELECT * FROM (WITH deg AS (SELECT 'out' AS d, users.u, count(v) AS n FROM users LEFT JOIN edge ON edge.u=users.u GROUP BY users.u UNION ALL SELECT 'in', users.u, count(edge.u) FROM users LEFT JOIN edge ON edge.v=users.u GROUP BY users.u),
+ l AS (SELECT count(*) AS n_logs, count(DISTINCT u) AS n_adopters, count(DISTINCT i) AS n_adopted_items, min(t) AS t_min, max(t) AS t_max FROM adoptions)
+ SELECT (SELECT count(*) FROM users) AS n_users, (SELECT count(*) FROM edge) AS n_links, (SELECT count(*) FROM part) AS n_items, (SELECT count(*) FROM tok0) AS n_attr_tokens, (SELECT count(*)/(SELECT count(*) FROM part) FROM tok0) AS attrs_per_item_mean, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT i FROM tok0)) AS n_items_no_attrs,
+ l.*, n_logs/n_adopted_items AS logs_per_item_mean, n_logs/n_adopters AS logs_per_user_mean, (t_max-t_min)/86400.0::DOUBLE AS t_span_days, {DEGREES}, (SELECT count(*) FROM edge)/((SELECT count(*) FROM users)*((SELECT count(*) FROM users)-1.0::DOUBLE)) AS density FROM l)""")
 def dataset_summary(s, p):
-    a = d.adoptions(s, p).agg(F.count("*").alias("n_logs"), F.countDistinct("u").alias("n_adopters"), F.countDistinct("i").alias("n_items"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
-    u, e = d.users(s, p).agg(F.count("*").alias("n_users")), d.edges(s, p).agg(F.count("*").alias("n_links"))
-    return a.crossJoin(u).crossJoin(e).withColumn("density", F.col("n_links") / (F.col("n_users") * (F.col("n_users") - F.lit(1.0))))
+    items = d.tokens(s, p).groupBy("i").agg(F.collect_list("label").alias("attrs"))
+    return summary.summarize(d.edges(s, p), d.adoptions(s, p), items, d.users(s, p))
 
 
 @query("SELECT least(u,v) AS a, greatest(u,v) AS b, count(*) AS w FROM ring WHERE u<>v GROUP BY 1, 2")
@@ -174,14 +177,7 @@ def dense_ids(s, p):
 
 @query("SELECT i, least(9, (row_number() OVER (ORDER BY n DESC, i)-1)*10//count(*) OVER ()) AS decile FROM (SELECT i, count(*) AS n FROM adopt GROUP BY i)")
 def popularity_decile(s, p):
-    from pyspark.sql import Window
-
-    n = logs.first_adoption(d.adoptions(s, p)).groupBy("i").agg(F.count("*").alias("n"))
-    # Ranks from the counts of items a number of adopters: few rows in the global window.
-    steps = n.groupBy("n").agg(F.count("*").alias("c"))
-    before = steps.select("n", F.coalesce(F.sum("c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("total"))
-    r = F.row_number().over(Window.partitionBy("n").orderBy("i")) - 1 + F.col("before")
-    return n.join(F.broadcast(before), "n").select("i", F.least(F.lit(9), F.floor(r * 10 / F.col("total"))).cast("long").alias("decile"))
+    return logs.popularity(logs.first_adoption(d.adoptions(s, p)))
 
 
 @query("SELECT rho, alpha, beta, omega, round(eps0,9) AS eps0, eps1 FROM hyp")
@@ -263,11 +259,19 @@ def weak_components(s, p):
     return graph.components(d.edges(s, p), d.users(s, p))
 
 
-@query()
+@query("""SELECT u, core FROM (WITH RECURSIVE near AS (SELECT u, v FROM edge UNION SELECT v, u FROM edge), st(step, u, core) AS (SELECT 0, u, count(*) FROM near GROUP BY u
+ UNION ALL SELECT s.step+1, s.u, least(s.core, x.h) FROM st s JOIN (SELECT u, max(r) AS h FROM (SELECT near.u, t.core AS cv, row_number() OVER (PARTITION BY near.u ORDER BY t.core DESC) AS r FROM near JOIN st t ON t.u=near.v) WHERE cv>=r GROUP BY u) x USING (u) WHERE s.step<80)
+ SELECT u, core FROM st WHERE step=80)""")
 def core_numbers(s, p):
     return graph.core_numbers(d.edges(s, p))
 
 
+@query(SQL["core_numbers"].split(f"{d.CTES} ", 1)[1])
+def core_numbers_in_rounds(s, p):
+    """The same by rounds of h-indices, as for a graph beyond one task."""
+    return graph.core_numbers(d.edges(s, p), local_arcs=0)
+
+
 @query("SELECT v, c, u0 AS n FROM (SELECT x.c AS v, y.c, count(*) AS u0 FROM labels5 x JOIN (SELECT v AS u, c FROM (SELECT v, c, row_number() OVER (PARTITION BY v ORDER BY p DESC, c) AS r FROM pi) WHERE r=1) y USING (u) GROUP BY x.c, y.c)")
 def contingency(s, p):
     found = model.detect_communities(fitted(s, p)["pi"]).toDF("u", "c")
@@ -291,7 +295,12 @@ def mioa_nodes(s, p):
     return spread.arborescences(hash_weights(s, p), 0.1, d.users(s, p), inward=False).select("root", "node", *rounded("dist", digits=9))
 
 
-@query()
+@query(f"""SELECT round(sum(CASE WHEN u IS NOT NULL THEN 1 ELSE 1-coalesce(f0,1) END),6) AS spread FROM (WITH RECURSIVE {RING_PP}, seeds AS (SELECT u FROM users ORDER BY u LIMIT 10),
+ path(root, node, dist, hops, parent) AS (SELECT u, u, 0.0::DOUBLE, 0, NULL::BIGINT FROM users UNION ALL SELECT root, w.u, dist-ln(pp), hops+1, path.node FROM path JOIN w ON w.v=path.node WHERE dist-ln(pp)<=-ln(0.1) AND w.u<>root),
+ tree AS (SELECT root, node, first(hops ORDER BY dist, hops, parent) AS hops, first(parent ORDER BY dist, hops, parent) AS parent FROM path GROUP BY root, node),
+ two AS (SELECT root, parent AS node, product(1-pp) AS f FROM tree JOIN w ON w.u=node AND w.v=parent WHERE hops=2 AND node IN (SELECT u FROM seeds) GROUP BY 1, 2),
+ one AS (SELECT tree.root, product(1-pp*(CASE WHEN tree.node IN (SELECT u FROM seeds) THEN 1 ELSE 1-coalesce(f,1) END)) AS f0 FROM tree JOIN w ON w.u=tree.node AND w.v=tree.parent LEFT JOIN two ON two.root=tree.root AND two.node=tree.node WHERE hops=1 GROUP BY 1)
+ SELECT f0, seeds.u FROM users LEFT JOIN one ON one.root=users.u LEFT JOIN seeds ON seeds.u=users.u)""")
 def influence_spread(s, p):
     w = stable(hash_weights(s, p))
     trees = spread.arborescences(w, 0.1, d.users(s, p))
@@ -315,6 +324,28 @@ def user_to_user_topic(s, p):
     return model.user_to_user(m["edges"], m["pi"], m["eta"], m["theta"]).select("u", "v", "z", *rounded("p", digits=9))
 
 
+@query("""SELECT item, u, v, round(least(greatest(raw,0),1),8) AS pp FROM (WITH pit AS (SELECT v, c, CASE WHEN row_number() OVER (PARTITION BY v ORDER BY p DESC, c)<=2 THEN p ELSE 0 END AS p FROM pi), aut AS (SELECT v AS u, eta.c, sum(pit.p*eta.p) AS a FROM pit JOIN eta ON eta.cp=pit.c GROUP BY v, eta.c)
+ SELECT item, e.u, e.v, sum(a*pit.p*b) AS raw FROM edge e JOIN aut ON aut.u=e.u JOIN pit ON pit.v=e.v AND pit.c=aut.c JOIN bar ON bar.c=aut.c GROUP BY item, e.u, e.v)""")
+def edge_weights_top2(s, p):
+    """Weights by each user's two largest communities alone."""
+    m = fitted(s, p)
+    tops = logs.top_items(d.adoptions(s, p), 3).select(F.col("i").alias("item"))
+    return model.edge_weights(m["edges"], tops, m["pi"], m["eta"], m["theta"], m["phi"], top_c=2).select("item", "u", "v", *rounded("pp", digits=8))
+
+
+@query("SELECT u, v, i FROM logs WHERE i NOT IN (SELECT item FROM tops)")
+def holdout_logs(s, p):
+    """Logs of items that are not scored."""
+    tops = logs.top_items(d.adoptions(s, p), 3).select("i")
+    return d_logs(s, p).join(F.broadcast(tops), "i", "left_anti").select("u", "v", "i")
+
+
+@query("""SELECT 'user' AS name, v AS a, c AS b, count(*) AS n FROM side GROUP BY v, c UNION ALL SELECT 'pair', cp, c, count(*) FROM ev GROUP BY cp, c UNION ALL SELECT 'item', i, c, count(*) FROM ev WHERE kind=1 GROUP BY i, c""")
+def event_counts(s, p):
+    m = fitted(s, p)
+    return gibbs.event_counts(d.events(m["edges"], m["logs"]))
+
+
 @query("SELECT item, u, v, round(raw,8) AS p FROM pp")
 def edge_weights_naive(s, p):
     m = fitted(s, p)
@@ -363,6 +394,12 @@ def air_trials(s, p):
     return air.trials(d.adoptions(s, p), d.edges(s, p), d_logs(s, p))
 
 
+@query(f"SELECT u, v, i, y FROM (WITH {TRIALS} SELECT *, row_number() OVER (PARTITION BY i, y ORDER BY {u01_sql('33', 'u', 'v', 'i')}, u, v) AS r, sum(y) OVER (PARTITION BY i) AS pos FROM tr) WHERE y=1 OR r<=2*pos")
+def air_trials_capped(s, p):
+    """At most two failures for each success of an item."""
+    return air.trials(d.adoptions(s, p), d.edges(s, p), d_logs(s, p), per_positive=2, seed=33)
+
+
 def em_sql(key: str, num: str) -> str:
     return f"SELECT '{key}' AS side, {key} AS id, z, round(least(greatest((sum({num})+0.5)/(sum(r)+2.0),1e-9),1-1e-9),9) AS p FROM em GROUP BY {key}, z"
 
@@ -375,7 +412,7 @@ def em_sql(key: str, num: str) -> str:
  {em_sql('u', 'na')} UNION ALL {em_sql('v', 'nb')} UNION ALL SELECT 'i', i, z, round((sum(r)+0.5)/sum(sum(r)+0.5) OVER (PARTITION BY i),9) FROM em GROUP BY i, z)""")
 def air_em_step(s, p):
     tr = stable(air.trials(d.adoptions(s, p), d.edges(s, p), d_logs(s, p)))
-    A, I, gamma = air.em_step(tr, *air.initial(tr, Z, 31))  # noqa: E741
+    A, I, gamma = air.em_step(tr, *air.initial(tr, Z, 31), Z)  # noqa: E741
     one = lambda df, side: df.select(F.lit(side).alias("side"), F.col(side).alias("id"), "z", *rounded("p", digits=9))
     return one(A, "u").union(one(I, "v")).union(one(gamma, "i"))
 
@@ -458,10 +495,32 @@ def synthetic_dataset(s, p):
     return ds.adoptions.groupBy("i").agg(F.count("*").alias("adopters"))
 
 
-@query()
+FIRST_ITEM = "(SELECT i FROM adopt GROUP BY i ORDER BY count(*) DESC, i LIMIT 1)"
+
+
+@query(f"""SELECT round(mean_top,9) AS mean_top, 1/{C}.0::DOUBLE AS uniform, n_communities, round(pp_max,8) AS pp_max, round(pp_min,8) AS pp_min, round(pp_mean,8) AS pp_mean, round(share_of_h,8) AS share_of_h, round(pp_median,8) AS pp_median, share_of_h=0 AS degenerate FROM
+ (SELECT avg(p) AS mean_top, count(DISTINCT c) AS n_communities FROM (SELECT p, c, row_number() OVER (PARTITION BY v ORDER BY p DESC, c) AS r FROM pi) WHERE r=1),
+ (SELECT max(w) AS pp_max, min(w) AS pp_min, avg(w) AS pp_mean, avg(CAST(w>=0.01 AS INT)) AS share_of_h, max(w) FILTER (r=n//2+1) AS pp_median FROM (SELECT w, row_number() OVER (ORDER BY w) AS r, count(*) OVER () AS n FROM (SELECT least(greatest(raw,0),1) AS w FROM pp WHERE item={FIRST_ITEM})))""")
 def model_diagnostics(s, p):
     m = fitted(s, p)
-    return harness.diagnostics(m["pi"], weights(s, p, m), 0.1)
+    own = weights(s, p, m).join(F.broadcast(logs.top_items(d.adoptions(s, p), 1).select(F.col("i").alias("item"))), "item", "left_semi")
+    found = harness.diagnostics(m["pi"], stable(own), 0.01, C)
+    return found.select(F.round("mean_top", 9).alias("mean_top"), "uniform", "n_communities", *rounded("pp_max", "pp_min", "pp_mean", "share_of_h", "pp_median", digits=8), "degenerate")
+
+
+@query()
+def gibbs_in_turn(s, p):
+    """Sizes of the community pairs after two sweeps that draw one event after the other."""
+    m = fitted(s, p)
+    ev = gibbs.sample_communities_in_turn(m["edges"], m["logs"], m["phi"], m["h"], 2, 24)
+    return ev.groupBy("kind", "cp", "c").agg(F.count("*").alias("n"))
+
+
+@query()
+def simulated_adoptions(s, p):
+    """Adopters of 20 made-up items on the ring."""
+    found = synthetic.simulate_adoptions(d.ring(s, p), d.users(s, p), 20, 53, base=0.05)
+    return found.groupBy("i").agg(F.count("*").alias("adopters"))
 
 
 @query()

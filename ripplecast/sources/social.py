@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ripplecast.operators import logs, subsample
 from ripplecast.sources.datasets import Dataset, located, renumber
 
+#: Names of the public vote exports (fixed values), friends first.
+VOTE_FILES = [("digg_friends.csv", "digg_votes1.csv"), ("digg_friends.csv", "digg_votes.csv"), ("out.digg-friends", "out.digg-votes")]
 VOTE_DAY = 86_400
 
 
@@ -49,18 +51,32 @@ def votes(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("u is not null and i is not null and t is not null")
 
 
-def vote_attributes(first: DataFrame, buckets: int = 64) -> DataFrame:
-    """(i, attrs of strings): popularity decile, life span in days, hour of the first vote, hashed early voters."""
-    early = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("t", "u"))), lambda x: x["u"]), 1, 3)
-    rows = first.groupBy("i").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), early.alias("early"))
-    tags = F.array(
-        F.concat(F.lit("size:"), F.floor(F.log2(F.col("n") + 1))),
-        F.concat(F.lit("days:"), F.floor(F.log2((F.col("t1") - F.col("t0")) / VOTE_DAY + 1))),
-        F.concat(F.lit("hour:"), F.floor(F.pmod(F.col("t0"), F.lit(VOTE_DAY)) / 3600)),
-        F.concat(F.lit("weekday:"), F.pmod(F.floor(F.col("t0") / VOTE_DAY) + 3, F.lit(7))),
-    )
-    voters = F.transform("early", lambda u: F.concat(F.lit("voter:"), F.pmod(F.xxhash64(u), F.lit(buckets))))
-    return rows.select("i", F.array_sort(F.array_distinct(F.concat(tags, voters))).alias("attrs"))
+def find_vote_files(spark: SparkSession, raw: str) -> tuple[str, str]:
+    """(friends, votes) of a raw folder: the CSV pair, whose ids match, before the column exports."""
+    pairs = [(f"{raw}/{a}", f"{raw}/{b}") for a, b in VOTE_FILES]
+    for friends, votes_path in pairs:
+        found = located(spark, friends), located(spark, votes_path)
+        if all(found):
+            return found
+    raise FileNotFoundError(f"{raw} holds no pair of friends and votes files; looked for " + ", ".join(f"{a} with {b}" for a, b in VOTE_FILES))
+
+
+def vote_attributes(first: DataFrame, buckets: int = 32, draws: int = 2) -> DataFrame:
+    """(i, attrs of strings): popularity decile, life span by powers of two of minutes, three-hour band and weekday of
+    the first vote (UTC), decile of the share of votes in the first hour, and draws hashes of the id."""
+    start = first.groupBy("i").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    early = first.join(start, "i").where("t - t0 <= 3600").groupBy("i").agg(F.count("*").alias("early"))
+    rows = start.join(early, "i").join(logs.popularity(first, descending=False), "i")
+    minutes = F.floor(F.log2((F.col("t1") - F.col("t0")) / 60 + 1))
+    tags = [
+        ("popular", F.col("decile")),
+        ("life", F.least(minutes, F.lit(11))),
+        ("band", F.floor(F.pmod(F.col("t0"), F.lit(VOTE_DAY)) / 10_800)),
+        ("weekday", F.pmod(F.floor(F.col("t0") / VOTE_DAY) + 4, F.lit(7))),
+        ("burst", F.least(F.floor(F.col("early") * 10 / F.col("n")), F.lit(9))),
+        *[(f"id{k}", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "i", F.lit(k)).cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(buckets))) for k in range(draws if buckets > 0 else 0)],
+    ]
+    return rows.select("i", F.array_sort(F.array(*[F.concat(F.lit(f"{name}:"), value.cast("string")) for name, value in tags])).alias("attrs"))
 
 
 def epoch(text: Column) -> Column:
@@ -71,7 +87,7 @@ def epoch(text: Column) -> Column:
 
 
 def names(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: (x != "") & (x != "None")))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: (x != "") & (x != "None")))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

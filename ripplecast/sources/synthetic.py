@@ -68,6 +68,39 @@ def cascades(edges: DataFrame, items: DataFrame, users: DataFrame, tastes: np.nd
     return seen.select("u", "i", (F.lit(1_600_000_000) + F.col("i") * HOUR + F.col("step") * HOUR + jitter).cast("long").alias("t"))
 
 
+def simulate_adoptions(edges: DataFrame, users: DataFrame, n_items: int, seed: int, Z: int = 8, C: int = 100, base: float = 0.02, boost: float = 6.0, starts: int = 3, most_steps: int = 12, t0: int = 1_234_567_890) -> DataFrame:
+    """(u, i, t): made-up adoptions on real arcs, for data without votes (asked for by name, never in silence).
+
+    Users fall into C communities by hash, each with a Dirichlet(0.4) taste over Z topics, an item has one topic.  It
+    starts at users drawn by out-degree and passes an arc with min(.9, base (1 + boost taste)), a step an hour.
+    """
+    if edges.limit(1).count() == 0:
+        raise ValueError("no arcs to simulate adoptions on")
+    spark = edges.sparkSession
+    tastes = np.random.default_rng(seed).dirichlet(np.full(Z, 0.4), C)
+    flat = spark.createDataFrame([(c, z, float(p)) for c, row in enumerate(tastes) for z, p in enumerate(row)], "c int, topic long, taste double")
+    arcs = stable(edges.select("u", "v").distinct())
+    items = spark.range(n_items).select(F.col("id").alias("i"), F.floor(u01(seed, "z", F.col("id")) * Z).alias("topic"))
+    # A start is the source of an arc drawn evenly, so users are drawn by out-degree: arcs get places by range.
+    placed = arcs.select("u", u01(seed, "place", F.col("u"), F.col("v")).alias("h"))
+    n = placed.count()
+    cells = max(1, n // 64)
+    draws = items.select("i", "topic", F.explode(F.sequence(F.lit(1), F.lit(starts))).alias("k")).withColumn("x", u01(seed, "start", F.col("i"), F.col("k")))
+    near = draws.withColumn("cell", F.floor(F.col("x") * cells)).join(placed.withColumn("cell", F.floor(F.col("h") * cells)), "cell")
+    first = near.groupBy("i", "topic", "k").agg(F.min(F.struct(F.abs(F.col("h") - F.col("x")).alias("d"), "u")).alias("m")).select("i", "topic", F.col("m.u").alias("u")).distinct()
+    seen = fresh = stable(first.withColumn("step", F.lit(0)))
+    for step in range(1, most_steps + 1):
+        met = fresh.select("i", "topic", "u").join(arcs, "u").withColumn("c", F.floor(u01(seed, "c", F.col("v")) * C).cast("int")).join(F.broadcast(flat), ["c", "topic"])
+        live = u01(seed, "arc", F.col("i"), F.col("u"), F.col("v")) < F.least(F.lit(0.9), base * (1 + boost * F.col("taste")))
+        new = met.where(live).select("i", "topic", F.col("v").alias("u")).distinct()
+        fresh = stable(new.join(seen, ["i", "u"], "left_anti").select("i", "topic", "u", F.lit(step).alias("step")))
+        if not fresh.limit(1).count():
+            break
+        seen = stable(seen.union(fresh))
+    jitter = F.floor(u01(seed, "t", F.col("i"), F.col("u")) * HOUR)
+    return seen.select("u", "i", (F.lit(t0) + F.col("step") * HOUR + jitter).cast("long").alias("t"))
+
+
 def generate(spark: SparkSession, n_users: int, n_links: int, n_items: int, n_attrs: int, C: int, Z: int, seed: int, inside: float = 0.8, bag: int = 5, starts: int = 3, base: float = 0.1, boost: float = 2.0) -> Dataset:
     tastes = np.random.default_rng(seed).dirichlet(np.full(Z, 0.3), C)
     edges = community_edges(spark, n_users, n_links, C, inside, seed)

@@ -256,7 +256,8 @@ def test_large_graphs_meet_the_target_too(spark, monkeypatch):
     users = spark.createDataFrame([(x,) for x in sorted({x for c in cliques for x in c} | {40, 41})], "u long")
     for target in (2, 3, 5):
         want = {(r.u, r.c) for r in communities.exact(e, users, target).collect()}
-        monkeypatch.setattr(communities, "EXACT_EDGES", 12)
-        got = {(r.u, r.c) for r in communities.exact(e, users, target).collect()}
-        monkeypatch.undo()
+        got = {(r.u, r.c) for r in communities.merged(e, users, target, small=12).collect()}
         assert got == want and {c for _, c in got} == set(range(target))
+    monkeypatch.setattr(communities, "EXACT_EDGES", 12)
+    with pytest.raises(ValueError):
+        communities.exact(e, users)
