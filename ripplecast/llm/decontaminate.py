@@ -10,7 +10,7 @@ The benchmark goes to the executors in blocks of at most ``block_bytes``; a larg
 more blocks, each a pass over the documents, with the hits so far carried along.
 
 Defined results: null and empty texts have no words, hit nothing, and items without words match nothing.
-Items of equal text each count; an item's null id is left out of the digest.  Repeated documents are
+Each row of the benchmark is an item, whatever its id and text; a null id counts but is left out of the digest.  Repeated documents are
 scored each.  Very long texts are handled whole.
 """
 
@@ -133,7 +133,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram
                     new, got = index.hits(words)
                     counts.append(len(words))
                     spans.append(union(np.concatenate((np.array(had, np.int64).reshape(-1, 2), new))))
-                    names.append([*had_items, *sorted(index.names[k] for k in got if index.names[k] is not None)])
+                    names.append([*had_items, *(index.names[k] for k in sorted(got))])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], schema=batch.schema)
 
         out = (scratch(out) if number else out).mapInArrow(kernel, out.schema)
@@ -154,8 +154,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
     ends = F.aggregate(F.transform("_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    items = F.array_sort(F.array_distinct("_items"))
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), ends.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), (ends > 0).alias("contaminated"))
+    items = F.array_sort(F.filter("_items", lambda x: x.isNotNull()))
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), ends.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), (ends > 0).alias("contaminated"))
 
 
 @shielded("doc_id", "text")

@@ -36,12 +36,12 @@ def secrets() -> str:
 def leaks() -> str:
     words = lambda c: rf"regexp_extract_all(translate(coalesce({c},''),'{UPPER}','{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words('text')} AS w FROM documents),
-    b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words('text')} AS w FROM benchmark),
-    bw AS (SELECT DISTINCT item, least(len(w),10) AS n, array_to_string(w[i:i+least(len(w),10)-1],' ') AS key FROM (SELECT item, w, unnest(range(1, greatest(len(w)-9,1)+1)) AS i FROM b WHERE len(w)>0)),
+    b AS (SELECT row_number() OVER () AS bid, CAST(item_id AS VARCHAR) AS item, {words('text')} AS w FROM benchmark),
+    bw AS (SELECT DISTINCT bid, item, least(len(w),10) AS n, array_to_string(w[i:i+least(len(w),10)-1],' ') AS key FROM (SELECT bid, item, w, unnest(range(1, greatest(len(w)-9,1)+1)) AS i FROM b WHERE len(w)>0)),
     dw AS (SELECT rid, n, i, array_to_string(w[i:i+n-1],' ') AS key FROM (SELECT rid, w, n, unnest(range(1, len(w)-n+2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w)>=n)),
-    hit AS (SELECT rid, item, i, n FROM dw JOIN bw USING (n, key)),
+    hit AS (SELECT rid, bid, item, i, n FROM dw JOIN bw USING (n, key)),
     pos AS (SELECT rid, count(DISTINCT p) AS c FROM (SELECT rid, unnest(range(i, i+n)) AS p FROM hit) GROUP BY rid),
-    its AS (SELECT rid, count(*) AS c, string_agg(item, ',' ORDER BY item) AS a FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+    its AS (SELECT rid, count(*) AS c, string_agg(item, ',' ORDER BY item) AS a FROM (SELECT DISTINCT rid, bid, item FROM hit) GROUP BY rid)
     SELECT doc_id, len(w) AS n_words, coalesce(pos.c,0) AS n_hit, coalesce(its.c,0) AS n_items, sha256(coalesce(a,'')) AS items_sha256, coalesce(pos.c,0)>0 AS contaminated FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)"""
 
 

@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from ripplecast.llm import brown_lm, chat_format, decontaminate, hilbert_ann, kd_shard, mixing, quality_knn, secret_scan, simhash_dedup, toxicity
-from ripplecast.llm.common import join_hot
+from ripplecast.llm.common import join_hot, scratch
 from ripplecast.llm.components import components
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _size string"
@@ -142,26 +142,28 @@ def test_shards_link_similar_sets_beyond_the_radius(spark):
 def test_decontamination(spark, docs, empty):
     rows = some_rows()
     first = max((r for r in rows if r[0] == 3 or r[0] == 7), key=lambda r: len(words(r[1])))
-    items = [(0, " ".join(first[1].split()[:12])), (1, rows[11][1].split()[0]), (2, None), (3, "..."), (4, "long " * 25)]
+    items = [(0, " ".join(first[1].split()[:12])), (1, rows[11][1].split()[0]), (2, None), (3, "..."), (4, "long " * 25), (1, rows[12][1].split()[0]), (None, rows[11][1].split()[0])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
     want = Counter()
     for r in rows:
         w, hit, found = split(r[1]), set(), set()
-        for item, text in items:
+        for number, (item, text) in enumerate(items):
             b = split(text)
             n = min(10, len(b))
             grams = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if b else set()
             for i in range(len(w) - n + 1) if n else ():
                 if tuple(w[i : i + n]) in grams:
                     hit |= set(range(i, i + n))
-                    found.add(str(item))
-        want[(r[0], len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
+                    found.add((number, item))
+        names = sorted(str(item) for _, item in found if item is not None)
+        want[(r[0], len(w), len(hit), len(found), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit))] += 1
     assert Counter(map(tuple, decontaminate.report(docs, bench).collect())) == want
     small = decontaminate.find_leaks(docs, bench, block_bytes=40)
     assert Counter(len(r._items) for r in small.collect()) == Counter(k[3] for k in want.elements())
     assert decontaminate.drop_contaminated(docs, bench).count() == sum(not k[5] for k in want.elements())
     assert decontaminate.report(empty, bench).count() == 0
+    assert {(r.n_hit, r.n_items) for r in decontaminate.report(docs, bench.where("false")).collect()} == {(0, 0)}
 
 
 def test_mixing(docs, empty):
@@ -213,6 +215,67 @@ def test_sharding(spark, docs, empty):
     assert max(sizes.values()) / min(sizes.values()) < 1.05 and len(sizes) == 5
 
 
+def brute_tree(rows, shards):
+    """Shard of each group by splitting sorted lists: rows (text, lang, source)."""
+    import xxhash
+
+    groups = {}
+    for text, lang, source in rows:
+        g = groups.setdefault(text, {"h": xxhash.xxh64_intdigest(text.encode(), 42), "n": 0, "size": len(text.encode()) + 8, "lang": [], "source": []})
+        g["n"] += g["size"]
+        g["lang"].append(lang)
+        g["source"].append(source)
+    least = lambda values: min((x for x in values if x is not None), default="")
+    unit = lambda x: zlib.crc32(x.encode()) / 2.0**32
+    place = lambda u, g: (int(min(u, 1.0) * ((1 << 20) - 1)) << 32) + (g["h"] >> 32)
+    for g in groups.values():
+        g["at"] = [place(np.log2(1.0 + g["size"]) / 48, g), place(unit(least(g["lang"])), g), place(unit(least(g["source"])), g)]
+    found = {}
+
+    def split(names, count, first):
+        if count == 1 or not names:
+            found.update(dict.fromkeys(names, first))
+            return
+        spans = [max(groups[t]["at"][d] for t in names) - min(groups[t]["at"][d] for t in names) for d in range(3)]
+        dim = max(range(3), key=lambda d: (spans[d] >> 32, spans[d]))
+        goal = sum(groups[t]["n"] for t in names) * (count // 2) // count
+        order = sorted(names, key=lambda t: groups[t]["at"][dim])
+        below, k = 0, 0
+        while below + groups[order[k]]["n"] < goal:
+            below += groups[order[k]]["n"]
+            k += 1
+        k += goal - below >= groups[order[k]]["n"] / 2
+        split(order[:k], count // 2, first)
+        split(order[k:], count - count // 2, first + count // 2)
+
+    split(list(groups), shards, 0)
+    return found
+
+
+@pytest.mark.parametrize("shards", [5, 8])
+def test_sharding_is_the_tree_of_sorted_lists(spark, shards):
+    rng = random.Random(12)
+    rows = [(k, "".join(rng.choice("ab c") for _ in range(rng.randint(0, 300))), rng.choice(["en", "de", None]), rng.choice(["x", "y", "z", None])) for k in range(150)]
+    rows += [(200 + k, rows[k % 9][1], "fr", "x") for k in range(40)]
+    want = brute_tree([r[1:] for r in rows], shards)
+    got = kd_shard.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.shard) for r in got} == {(k, want[t]) for k, t, *_ in rows}
+
+
+def test_votes_are_those_of_all_cosines():
+    rng = np.random.default_rng(6)
+    rows = rng.random((60, 40)).astype(np.float32) * (rng.random((60, 40)) < 0.3)
+    labels = (rng.random(60) < 0.5).astype(np.int64)
+    model = quality_knn.Model(rows, labels, 6, 7)
+    asked = rng.random((9, 40)).astype(np.float32) * (rng.random((9, 40)) < 0.3)
+    unit = lambda x: x / max(np.sqrt((x.astype(float) ** 2).sum()), 1e-12)
+    for x, score in zip(asked, model.score(asked)):
+        at = unit(unit(x * model.weights) @ model.basis)
+        near = sorted(((float(at @ p), int(y)) for p, y in zip(model.points, labels)), reverse=True)[:7]
+        weight = [max(s, 0.0) ** quality_knn.SHARPNESS for s, _ in near]
+        assert abs(score - sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight)) < 1e-4
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     rows = [(-7, k, r, "\\### Assistant: </turn> ok") for k, r in enumerate(["user", "assistant"])]
@@ -451,14 +514,42 @@ def test_toxic_offsets(spark):
             assert re.match("(?i)zorg|kwarg", text[r.doc_id][s.start : s.end])
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, monkeypatch):
+    """Each stage on what the one before kept, against brute force over all pairs and windows."""
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    docs, columns, kept = read("documents"), read("documents").columns, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, sf)
+        kept.append(docs.collect())
+        docs = scratch(stage(spark, docs, sf))
         assert docs.columns == columns if k < 4 else docs.columns[: len(columns)] == columns
-    assert docs.count() > 0
+    kept.append(docs.collect())
+    start, good, single, clean, mixed, final = kept
+    judged = {r.doc_id: r.predicted for r in quality_knn.report(read("documents"), read("labels")).collect()}
+    assert {r.doc_id for r in good} == {r.doc_id for r in start if judged[r.doc_id]}
+    group = {r.doc_id: r.doc_id for r in good}
+    sets = {r.doc_id: shingles(r.text) if words(r.text) else {()} for r in good}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+            low, high = sorted((group[a], group[b]))
+            group = {d: low if g == high else g for d, g in group.items()}
+    assert {r.doc_id for r in single} == set(group.values())
+    split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower())
+    windows = {tuple(w[i : i + min(10, len(w))]) for w in (split(r.text) for r in read("benchmark").collect()) if w for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    leaks = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    assert {r.doc_id for r in clean} == {r.doc_id for r in single if not leaks(split(r.text))}
+    taken = Counter()
+    for r in mixing.report(scratch(spark.createDataFrame(clean))).collect():
+        taken[r.doc_id] += r.taken
+    got = Counter()
+    for r in mixed:
+        got[r.doc_id] += len(words(r.text))
+    assert got == Counter({d: n for d, n in taken.items() if n})
+    assert Counter((r.doc_id, r.text) for r in final) == Counter((r.doc_id, r.text) for r in mixed)
+    place = brute_tree([(r.text, r.lang, r.source) for r in mixed], 24)
+    assert all(place[r.text] == r.shard for r in final)
+    assert all(sorted(r.slot for r in final if r.shard == s) == list(range(sum(r.shard == s for r in final))) for s in range(24))
 
 
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _size string, _spans string, _items string, _score string, _sig_own string, _order string, _group string, _before string, _words string, slot_cell string, shard string"
