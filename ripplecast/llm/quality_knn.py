@@ -32,7 +32,7 @@ SAMPLE, RANK, NEIGHBOURS, FOLD, HELD, THRESHOLD = 4000, 48, 25, 5, 0, 0.3
 TERMS, GRAMS, SHAPES = 4096, 1024, 24
 WIDTH = TERMS + GRAMS + SHAPES
 SHARPNESS, OVERSAMPLE, POWERS = 8, 32, 4
-WORD_WEIGHT, LENGTH_SHARE, ROWS = 0.5, 0.02, 512
+WORD_WEIGHT, LENGTH_SHARE, ROWS = 0.5, 0.02, 128
 
 
 def byte_classes() -> np.ndarray:
