@@ -38,7 +38,8 @@ ALPHA = 0.1
 HEAD, TAILS, CLASSES, ROUNDS, MOVE_ALPHA = 511, 64, 48, 20, 0.5
 KNOWN = 1 << 17
 SWEEPS = 2
-FLUSH = 1_500_000
+FLUSH = 400_000
+BATCH_BYTES = 2 << 20
 CHUNK = 512
 RARE = 255
 FEW = 8
@@ -82,7 +83,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         def folded() -> pa.Table:
             return pa.concat_tables(held).group_by("word").aggregate([("n", "sum"), ("m", "sum")]).select(["word", "n_sum", "m_sum"]).rename_columns(["word", "n", "m"])
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, BATCH_BYTES):
             sizes, words = words_of(batch.column(1))
             coded = words.dictionary_encode()
             at = coded.indices.to_numpy()
@@ -96,6 +97,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                     held = []
         if held:
             yield from folded().to_batches(1 << 16)
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return texts_of(docs).select("held_out", "text").mapInArrow(kernel, "word string, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -119,7 +122,7 @@ def encode(docs: DataFrame, known: pa.Array) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, BATCH_BYTES):
             sizes, words = words_of(batch.column(3))
             coded = words.dictionary_encode()
             at = coded.indices.to_numpy().astype(np.int64)
@@ -133,6 +136,7 @@ def encode(docs: DataFrame, known: pa.Array) -> DataFrame:
             ids[other] = first[owner[other]] - place - 1
             rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), coded.dictionary.take(pa.array(pairs % distinct)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed(ids.astype(np.int32), sizes), rare], names=["row", "doc_id", "held_out", "ids", "rare"])
+        pa.default_memory_pool().release_unused()
 
     rows = texts_of(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     return scratch(rows.mapInArrow(kernel, "row long, doc_id long, held_out boolean, ids binary, rare array<string>"))
@@ -164,7 +168,7 @@ def pair_counts(rows: DataFrame, n: int, line) -> np.ndarray:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n * n, np.int64)
-        for batch in sliced(batches):
+        for batch in sliced(batches, BATCH_BYTES):
             codes = line(batch)
             counts += np.bincount(codes[:-1] * n + codes[1:], minlength=n * n)
         at = np.flatnonzero(counts)
@@ -276,7 +280,7 @@ def known_classes(lines: DataFrame, seed: Classes, n_known: int) -> np.ndarray:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = shared.value
         dense = np.zeros(chunks_in_all * CHUNK * wide, np.int32)
-        for batch in sliced(batches):
+        for batch in sliced(batches, BATCH_BYTES):
             t = Tokens(batch.column(0), batch.column(1))
             line = t.line(seed.of_known, seed.of_tail)
             mine = np.flatnonzero(t.ids > seed.heads)
@@ -284,14 +288,16 @@ def known_classes(lines: DataFrame, seed: Classes, n_known: int) -> np.ndarray:
             ids, places = t.ids[mine].astype(np.int64), t.places[mine]
             at = (ids % chunks_in_all * CHUNK + ids // chunks_in_all) * wide
             np.add.at(dense, np.concatenate((at + line[places - 1], at + line[places + 1] + CLASSES)), 1)
-        at = np.flatnonzero(dense)
-        chunks = at // (wide * CHUNK)
-        cuts = np.flatnonzero(np.concatenate(([True], chunks[1:] != chunks[:-1], [True]))) if len(at) else np.zeros(1, int)
-        sizes = np.diff(cuts)
-        inside = (at - chunks * wide * CHUNK).astype(np.int32)
-        for a in range(0, len(sizes), 16):
-            own = slice(cuts[a], cuts[min(a + 16, len(sizes))])
-            yield pa.RecordBatch.from_arrays([pa.array(chunks[cuts[a : a + 16][: len(sizes[a : a + 16])]], pa.int32()), packed(inside[own], sizes[a : a + 16]), packed(dense[at[own]], sizes[a : a + 16])], names=["chunk", "at", "times"])
+        dense = dense.reshape(chunks_in_all, -1)
+        for first in range(0, chunks_in_all, 16):
+            places = [np.flatnonzero(row) for row in dense[first : first + 16]]
+            seen = [k for k, at in enumerate(places) if len(at)]
+            if seen:
+                sizes = [len(places[k]) for k in seen]
+                inside = np.concatenate([places[k] for k in seen]).astype(np.int32)
+                times = np.concatenate([dense[first + k, places[k]] for k in seen])
+                yield pa.RecordBatch.from_arrays([pa.array([first + k for k in seen], pa.int32()), packed(inside, np.array(sizes)), packed(times, np.array(sizes))], names=["chunk", "at", "times"])
+        pa.default_memory_pool().release_unused()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = shared.value
@@ -329,7 +335,7 @@ def rare_classes(lines: DataFrame, seed: Classes) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed = shared.value
-        for batch in sliced(batches):
+        for batch in sliced(batches, BATCH_BYTES):
             t = Tokens(batch.column(2), batch.column(3))
             if not len(t.rare):
                 continue
@@ -434,7 +440,7 @@ def class_lines(model: Model, lines: DataFrame, rare: DataFrame) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, counts, logs = shared.value
-        for batch in sliced(batches):
+        for batch in sliced(batches, BATCH_BYTES):
             ids, sizes = numbers(batch.column(3), np.int32)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             there, mine = ids >= 0, np.maximum(ids, 0)
@@ -449,7 +455,7 @@ def class_lines(model: Model, lines: DataFrame, rare: DataFrame) -> DataFrame:
     out = parts.join(late, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("late", F.lit(0.0))).alias("logs"), "kinds", "slots", "got")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, BATCH_BYTES):
             kinds, sizes = numbers(batch.column(5), np.uint8)
             slots, many = numbers(batch.column(6), np.int32)
             got = batch.column(7).flatten().to_numpy().astype(np.int64)
@@ -481,7 +487,7 @@ def report(docs: DataFrame) -> DataFrame:
     steps = moves_of(counts) + model.emit[None, :]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, BATCH_BYTES):
             kinds, sizes = numbers(batch.column(5), np.uint8)
             line = with_ends(kinds, sizes, end)
             # A text's steps end with the one to its end; running sums of whole batches would lose digits.
