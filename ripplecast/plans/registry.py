@@ -482,7 +482,16 @@ def dense_core(s, p):
     return subsample.dense_core(d.edges(s, p), logs.activity(d.adoptions(s, p)), n // 3)
 
 
-@query()
+@query("""SELECT u, v FROM (WITH t AS (SELECT 3*count(*) AS n FROM users), node AS (SELECT u, count(*) AS deg, coalesce(max(n),0) AS act FROM (SELECT u FROM edge UNION ALL SELECT v FROM edge) LEFT JOIN (SELECT u, count(*) AS n FROM adoptions GROUP BY u) USING (u) GROUP BY u),
+ sc AS (SELECT e.u, e.v, -(a.act+b.act) AS s1, -(a.deg+b.deg) AS s2 FROM edge e JOIN node a ON a.u=e.u JOIN node b ON b.u=e.v),
+ q AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY u ORDER BY s1, s2, v)<=greatest(1, (SELECT n FROM t)//(SELECT count(*) FROM node)) THEN 0 ELSE 1 END AS f FROM sc),
+ kept AS (SELECT u, v, s1, s2 FROM (SELECT *, row_number() OVER (ORDER BY f, s1, s2, u, v) AS r FROM q) WHERE r<=(SELECT n FROM t)),
+ lost AS (SELECT u AS x FROM node WHERE u NOT IN (SELECT u FROM kept UNION SELECT v FROM kept)),
+ back AS (SELECT DISTINCT u, v, s1, s2 FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s1, s2, u, v) AS r FROM (SELECT u AS x, q.* FROM q UNION ALL SELECT v, q.* FROM q) WHERE x IN (SELECT x FROM lost)) WHERE r=1),
+ whole AS (SELECT *, 0 AS added FROM kept UNION ALL SELECT *, 1 FROM back),
+ hold AS (SELECT DISTINCT u, v FROM (SELECT u, v, row_number() OVER (PARTITION BY x ORDER BY s1, s2, u, v) AS r FROM (SELECT u AS x, whole.* FROM whole UNION ALL SELECT v, whole.* FROM whole)) WHERE r=1),
+ gone AS (SELECT u, v FROM (SELECT u, v, row_number() OVER (ORDER BY s1 DESC, s2 DESC, u DESC, v DESC) AS r FROM whole ANTI JOIN hold USING (u, v) WHERE added=0) WHERE r<=(SELECT count(*) FROM whole)-(SELECT n FROM t))
+ SELECT u, v FROM whole ANTI JOIN gone USING (u, v))""")
 def thin_arcs(s, p):
     return subsample.thin(d.edges(s, p), logs.activity(d.adoptions(s, p)), 3 * d.users(s, p).count())
 
