@@ -75,7 +75,7 @@ def test_objective_of_em_never_falls(spark):
     assert len(seen) > 2 and all(b >= a - 1e-9 for a, b in zip(seen, seen[1:], strict=False))
 
 
-@pytest.mark.parametrize("per_positive", [None])
+@pytest.mark.parametrize("per_positive", [None, 2])
 def test_edges_of_trials_are_not_broadcast(spark, per_positive, monkeypatch):
     """Edges made of one short row each look small; a broadcast of them took the driver's memory."""
     plans = []
