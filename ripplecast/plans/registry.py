@@ -467,7 +467,7 @@ def model_cga_seeds(s, p):
 
 @query()
 def modularity_communities(s, p):
-    return communities.exact(d.edges(s, p), d.users(s, p))
+    return communities.agglomerated(d.edges(s, p), d.users(s, p))
 
 
 @query()

@@ -145,9 +145,9 @@ def labels_of(df):
 
 def test_agglomeration_by_component_is_that_of_one_task(spark):
     e, users = loose_graph(spark)
-    assert labels_of(communities.exact(e, users)) == labels_of(communities.exact(e, users, small=85))
+    assert labels_of(communities.exact(e, users)) == labels_of(communities.agglomerated(e, users, small=85))
     with pytest.raises(ValueError):
-        communities.exact(e, users, small=20)
+        communities.agglomerated(e, users, small=20)
 
 
 def test_agglomeration_finds_cliques(spark):
