@@ -69,6 +69,28 @@ def test_cores_and_components(spark, local_arcs):
     assert found == {(0, 0), (7, 7), (8, 8), (9, 8)} | {(u, 1) for u in range(1, 7)}
 
 
+def test_cores_of_long_paths_take_few_tables(spark, monkeypatch):
+    """Values fall by two nodes a round along a path: rounds of h-indices would write 100 tables here."""
+    keep, calls = graph.stable, []
+
+    def counted(df):
+        calls.append(1)
+        assert len(calls) < 40
+        return keep(df)
+
+    monkeypatch.setattr(graph, "stable", counted)
+    e = spark.createDataFrame([(low + x, low + x + 1) for low in (0, 1000) for x in range(200)], "u long, v long")
+    assert {tuple(r) for r in graph.core_numbers(e, local_arcs=0).collect()} == {(low + x, 1) for low in (0, 1000) for x in range(201)}
+
+
+@pytest.mark.parametrize("component_arcs", [0, 4, 9])
+def test_cores_by_rounds_and_by_components_agree(spark, component_arcs):
+    rng = random.Random(3)
+    rows = [(low + rng.randrange(12), low + rng.randrange(12)) for low in (0, 20) for _ in range(30)] + [(50, 51), (51, 52), (50, 52), (60, 61)]
+    e = spark.createDataFrame(rows, "u long, v long")
+    assert {tuple(r) for r in graph.core_numbers(e, 0, component_arcs).collect()} == {tuple(r) for r in graph.core_numbers(e).collect()}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     rng = random.Random(1)
     names = rng.sample(range(10_000), 400)
