@@ -268,7 +268,7 @@ def core_numbers(s, p):
 
 @query(SQL["core_numbers"].split(f"{d.CTES} ", 1)[1])
 def core_numbers_in_rounds(s, p):
-    """The same by rounds of h-indices, as for a graph beyond one task."""
+    """The same as for a graph beyond one task: by components, those that no task holds by rounds of h-indices."""
     return graph.core_numbers(d.edges(s, p), local_arcs=0)
 
 
@@ -450,12 +450,12 @@ def cga_seeds(s, p):
 def cinema_seeds(s, p):
     profile = logs.conformity(d.adoptions(s, p), d.edges(s, p), d.users(s, p), DELTA, 5.0)
     w = stable(cascade.conformity_pp(hash_weights(s, p), profile))
-    return cascade.select_cinema(w, communities.exact(d.edges(s, p), d.users(s, p), C), 10, 20, 44)
+    return cascade.select_cinema(w, communities.agglomerated(d.edges(s, p), d.users(s, p), C), 10, 20, 44)
 
 
 @query()
 def air_cga_seeds(s, p):
-    return cascade.select_cga(stable(air_fit(s, p)), communities.exact(d.edges(s, p), d.users(s, p), C), 10, 20, 45)
+    return cascade.select_cga(stable(air_fit(s, p)), communities.agglomerated(d.edges(s, p), d.users(s, p), C), 10, 20, 45)
 
 
 @query()

@@ -150,6 +150,21 @@ def test_agglomeration_by_component_is_that_of_one_task(spark):
         communities.agglomerated(e, users, small=20)
 
 
+def test_forced_targets_by_component_are_those_of_one_task(spark):
+    e, users = loose_graph(spark)
+    for target in (3, 12, 25):
+        assert labels_of(communities.exact(e, users, target)) == labels_of(communities.agglomerated(e, users, target, small=85))
+    assert labels_of(communities.exact(e, users, 25, False)) == labels_of(communities.agglomerated(e, users, 25, False, 85))
+
+
+@pytest.mark.parametrize("name", ["air_cga_seeds", "cinema_seeds"])
+def test_seeds_of_a_graph_beyond_one_task(spark, monkeypatch, name):
+    """Communities for the seeds of more pairs than one task takes were an error."""
+    want = registry.QUERIES[name](spark, SF).collect()
+    monkeypatch.setattr(communities, "EXACT_EDGES", 10)
+    assert registry.QUERIES[name](spark, SF).collect() == want
+
+
 def test_agglomeration_finds_cliques(spark):
     rows = [(a, b) for s in (0, 5) for a in range(s, s + 5) for b in range(a + 1, s + 5)] + [(4, 5)]
     e, users = spark.createDataFrame(rows, "u long, v long"), spark.range(11).toDF("u")
