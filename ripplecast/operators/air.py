@@ -21,13 +21,13 @@ def trials(adoptions: DataFrame, edges: DataFrame, positives: DataFrame, per_pos
     """(u, v, i, y): logs are successes; other out-edges of an item's adopters are failures, per_positive for each of
     the item's successes at most, a uniform sample by seeded hash order.
 
-    The logs are derived once, and the edges are merged: an estimate of their size (derived edges may be many times
-    what they are read from) never sends them through the driver.
+    The logs are derived once.  Edges, logs and their items are merged: an estimate of their size (derived edges may be
+    many times what they are read from, and rows many times the file that holds them) never sends them through the driver.
     """
     pos = stable(positives.select("u", "v", "i").distinct())
     items = pos.select("i").distinct()
-    adopters = first_adoption(adoptions).join(items, "i", "left_semi").select("u", "i")
-    neg = adopters.join(edges.select("u", "v").distinct().hint("merge"), "u").select("u", "v", "i").join(pos, ["u", "v", "i"], "left_anti")
+    adopters = first_adoption(adoptions).join(items.hint("merge"), "i", "left_semi").select("u", "i")
+    neg = adopters.join(edges.select("u", "v").distinct().hint("merge"), "u").select("u", "v", "i").join(pos.hint("merge"), ["u", "v", "i"], "left_anti")
     if per_positive is not None:
         caps = pos.groupBy("i").agg((F.count("*") * per_positive).alias("cap"))
         neg = least_hashed(neg, "i", caps, u01(seed, F.col("u"), F.col("v"), F.col("i")), ["u", "v"])

@@ -92,6 +92,30 @@ def test_edges_of_trials_are_not_broadcast(spark, per_positive, monkeypatch):
     assert not any(re.search(r"BroadcastHashJoin \[u#\d+L\], \[u#\d+L\], Inner", p) for p in plans)
 
 
+def test_nothing_of_capped_trials_is_broadcast(spark, monkeypatch):
+    """Logs, their items, caps and cells of the cap grow with the data, and each went through the driver."""
+    plans = []
+    keep = logs.stable
+    watched = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or keep(df)
+    for module in (air, logs):
+        monkeypatch.setattr(module, "stable", watched)
+    rng = random.Random(7)
+    edges = spark.createDataFrame([(u, v) for u in range(40) for v in range(40) if u != v and rng.random() < 0.3], "u long, v long")
+    a = spark.createDataFrame([(u, i, rng.randrange(9)) for u in range(40) for i in range(3)], "u long, i long, t long")
+    met = logs.influence_logs(a, edges, 1)
+    tr = air.trials(a, edges, met, 2, 5)
+    ran = tr.collect()
+    plans.append(tr._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in p for p in plans)
+    every = air.trials(a, edges, met, None, 5).withColumn("h", logs.u01(5, F.col("u"), F.col("v"), F.col("i"))).collect()
+    pos = [r for r in every if r.y == 1]
+    want = {(r.u, r.v, r.i, 1) for r in pos}
+    for i in range(3):
+        failures = sorted((r.h, r.u, r.v) for r in every if r.y == 0 and r.i == i)
+        want |= {(u, v, i, 0) for _, u, v in failures[: 2 * sum(r.i == i for r in pos)]}
+    assert len(ran) == len(want) < len(every) and {tuple(r) for r in ran} == want
+
+
 def test_cascade_spread_nears_the_exact_one(spark):
     got = cascade.ic_spread(weights(spark, CHAIN), spark.range(1).toDF("u"), 4000, 1).first()[0]
     assert abs(got - 1.875) < 0.06
