@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplecast.functions.randomness import u01
-from ripplecast.operators.lineage import stable
-from ripplecast.operators.logs import first_adoption, least_hashed
+from ripplecast.operators.lineage import release, stable
+from ripplecast.operators.logs import least_hashed
 from ripplecast.operators.model import grid, vector, with_each
 
 LOW = 1e-9
@@ -26,7 +26,7 @@ def trials(adoptions: DataFrame, edges: DataFrame, positives: DataFrame, per_pos
     """
     pos = stable(positives.select("u", "v", "i").distinct())
     items = pos.select("i").distinct()
-    adopters = first_adoption(adoptions).join(items.hint("merge"), "i", "left_semi").select("u", "i")
+    adopters = adoptions.select("u", "i").join(items.hint("merge"), "i", "left_semi").distinct()
     neg = adopters.join(edges.select("u", "v").distinct().hint("merge"), "u").select("u", "v", "i").join(pos.hint("merge"), ["u", "v", "i"], "left_anti")
     if per_positive is not None:
         caps = pos.groupBy("i").agg((F.count("*") * per_positive).alias("cap"))
@@ -61,18 +61,31 @@ def total(values: str) -> Column:
 
 def log_posterior(tr: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame, prior_a: float = 0.5, prior_b: float = 1.5, prior_gamma: float = 0.5) -> float:  # noqa: E741
     like = responsibilities(tr, A, I, gamma).agg(F.sum(F.ln(F.greatest(total("w"), F.lit(LOW)))).alias("l")).first()[0] or 0.0
+    return like + log_prior(A, I, gamma, prior_a, prior_b, prior_gamma)
+
+
+def log_prior(A: DataFrame, I: DataFrame, gamma: DataFrame, prior_a: float = 0.5, prior_b: float = 1.5, prior_gamma: float = 0.5) -> float:  # noqa: E741
     beta = lambda df: df.agg(F.sum(prior_a * F.ln(F.greatest("p", F.lit(LOW))) + prior_b * F.ln(F.greatest(1 - F.col("p"), F.lit(LOW))))).first()[0] or 0.0
     g = gamma.agg(F.sum(prior_gamma * F.ln(F.greatest("p", F.lit(LOW))))).first()[0] or 0.0
-    return like + beta(A) + beta(I) + g
+    return beta(A) + beta(I) + g
 
 
-def em_step(tr: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame, Z: int, prior_a: float = 0.5, prior_b: float = 1.5, prior_gamma: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: E741
-    """One closed-form sweep: a trial is one row whatever the number of topics, and each parameter one aggregation of it."""
+def shares(tr: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame) -> DataFrame:  # noqa: E741
+    """(u, v, i, r, na, nb, l) as a table: each trial's topics, its counts for both ends and its log likelihood."""
     rows = responsibilities(tr, A, I, gamma).withColumn("t", total("w"))
     rows = rows.withColumn("r", F.transform("w", lambda x: F.when(F.col("t") > 0, x / F.col("t")).otherwise(0.0)))
     # A failure counts for a topic by the chance that this side would have done its part, the other not.
     part_of = lambda x, y: F.zip_with(F.zip_with(x, y, lambda p, q: F.when(1 - p * q > LOW, p * (1 - q) / (1 - p * q)).otherwise(0.0)), "r", lambda share, r: F.when(F.col("y") == 1, r).otherwise(r * share))
-    rows = stable(rows.select("u", "v", "i", "r", part_of("a", "b").alias("na"), part_of("b", "a").alias("nb")))
+    return stable(rows.select("u", "v", "i", "r", part_of("a", "b").alias("na"), part_of("b", "a").alias("nb"), F.ln(F.greatest("t", F.lit(LOW))).alias("l")))
+
+
+def em_step(tr: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame, Z: int, prior_a: float = 0.5, prior_b: float = 1.5, prior_gamma: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: E741
+    """One closed-form sweep: a trial is one row whatever the number of topics, and each parameter one aggregation of it."""
+    return maximised(shares(tr, A, I, gamma), Z, prior_a, prior_b, prior_gamma)
+
+
+def maximised(rows: DataFrame, Z: int, prior_a: float = 0.5, prior_b: float = 1.5, prior_gamma: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(A, I, gamma) of shares."""
     sums = lambda name: F.array(*[F.sum(F.get(F.col(name), F.lit(z))) for z in range(Z)])
 
     def part(key: str, num: str) -> DataFrame:
@@ -84,17 +97,30 @@ def em_step(tr: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame, Z: int,
     return part("u", "na"), part("v", "nb"), g.select("i", F.posexplode(F.transform("g", lambda x: x / total("g"))).alias("z", "p"))
 
 
-def fit(tr: DataFrame, Z: int, sweeps: int, seed: int, tol: float = 1e-4) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
-    """(A, I, gamma, objective a sweep); ends when the relative gain falls below tol."""
+def fit(tr: DataFrame, Z: int, sweeps: int, seed: int, tol: float = 1e-4, last: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
+    """(A, I, gamma, objective a sweep); ends when the relative gain falls below tol.
+
+    An objective is summed from the shares that the next sweep takes; without last, that after the last sweep is left out.
+    """
     tr = stable(tr)
-    A, I, gamma = (stable(x) for x in initial(tr, Z, seed))  # noqa: E741
-    seen = [log_posterior(tr, A, I, gamma)]
+    found = tuple(stable(x) for x in initial(tr, Z, seed))
+    seen: list[float] = []
     for _ in range(sweeps):
-        A, I, gamma = (stable(x) for x in em_step(tr, A, I, gamma, Z))  # noqa: E741
-        seen.append(log_posterior(tr, A, I, gamma))
-        if seen[-1] - seen[-2] < tol * max(1.0, abs(seen[-2])):
-            break
-    return A, I, gamma, seen
+        rows = shares(tr, *found)
+        seen.append((rows.agg(F.sum("l")).first()[0] or 0.0) + log_prior(*found))
+        if settled(seen, tol):
+            release(rows)
+            return *found, seen
+        new = tuple(stable(x) for x in maximised(rows, Z))
+        release(rows, *found)
+        found = new
+    if last:
+        seen.append(log_posterior(tr, *found))
+    return *found, seen
+
+
+def settled(seen: list[float], tol: float) -> bool:
+    return len(seen) > 1 and seen[-1] - seen[-2] < tol * max(1.0, abs(seen[-2]))
 
 
 def edge_weights(edges: DataFrame, items: DataFrame, A: DataFrame, I: DataFrame, gamma: DataFrame, Z: int) -> DataFrame:  # noqa: E741

@@ -417,10 +417,12 @@ def air_em_step(s, p):
     return one(A, "u").union(one(I, "v")).union(one(gamma, "i"))
 
 
-def air_fit(s: SparkSession, p: str) -> DataFrame:
-    A, I, gamma, _ = air.fit(air.trials(d.adoptions(s, p), d.edges(s, p), d_logs(s, p)), Z, 5, 31)  # noqa: E741
-    tops = logs.top_items(d.adoptions(s, p), 1).select(F.col("i").alias("item"))
-    return air.edge_weights(d.edges(s, p), tops, A, I, gamma, Z).select("u", "v", "pp")
+def air_fit(s: SparkSession, p: str, e: DataFrame) -> DataFrame:
+    """Weights of the edges e; first adoptions are derived once."""
+    first = logs.first_by_user(d.adoptions(s, p))
+    A, I, gamma, _ = air.fit(air.trials(first, e, logs.logs_of_first(first, e, DELTA)), Z, 5, 31, last=False)  # noqa: E741
+    tops = logs.most_adopted(first, 1).select(F.col("i").alias("item"))
+    return air.edge_weights(e, tops, A, I, gamma, Z).select("u", "v", "pp")
 
 
 @query(f"""SELECT u, v, round(least(greatest(raw*(avg(base) OVER ()/avg(raw) OVER ()),0),1),9) AS pp FROM (SELECT w.u, w.v, w.pp AS base, w.pp*x.influence/m.mi*y.conformity/m.mc AS raw FROM (WITH {RING_PP} SELECT * FROM w) w
@@ -455,7 +457,8 @@ def cinema_seeds(s, p):
 
 @query()
 def air_cga_seeds(s, p):
-    return cascade.select_cga(stable(air_fit(s, p)), communities.agglomerated(d.edges(s, p), d.users(s, p), C), 10, 20, 45)
+    e = stable(d.edges(s, p))
+    return cascade.select_cga(stable(air_fit(s, p, e)), communities.agglomerated(e, d.users(s, p), C), 10, 20, 45)
 
 
 @query()

@@ -144,6 +144,73 @@ def test_curves_and_budgets():
     assert cascade.allocate_positive({0: [(1, 3.0), (2, 0.0)], 1: [(7, 2.0)]}, 5) == [1, 7]
 
 
+def plain_curve(members, out, k, runs, seed):
+    """mixed_greedy_curve with a reach a user and sample, and a look at every user for the best."""
+    rng, curve, chosen = random.Random(seed), [], []
+    first = dict.fromkeys(members, 0.0)
+    for _ in range(runs):
+        g = cascade.sample(out, rng)
+        for u in members:
+            first[u] += len(cascade.reach([u], g)) / runs
+    order = {u: (first[u], 0) for u in members}
+    while order and len(curve) < k:
+        graphs = None
+        while order[u := min(order, key=lambda x: (-order[x][0], x))][1] != len(curve):
+            graphs = graphs or [(g, cascade.reach(chosen, g)) for g in (cascade.sample(out, rng) for _ in range(runs))]
+            order[u] = sum(len(cascade.reach([u], g, b)) for g, b in graphs) / runs, len(curve)
+        chosen.append(u)
+        curve.append((u, order.pop(u)[0]))
+    return curve
+
+
+def random_arcs(rng, n, share):
+    rows = {u: [(v, rng.random()) for v in range(n) if v != u and rng.random() < share] for u in range(n)}
+    return {u: row for u, row in rows.items() if row}
+
+
+def test_curves_of_small_reaches_pass_no_masks(monkeypatch):
+    """Each sample of a community went over all of it once for every BLOCK_BITS users."""
+    monkeypatch.setattr(cascade, "reach_counts", None)
+    rng = random.Random(4)
+    for n, share in ((1, 0), (20, 0.05), (60, 0.01), (60, 0.02)):
+        out = random_arcs(rng, n, share)
+        assert cascade.mixed_greedy_curve(list(range(n)), out, 6, 4, 9) == plain_curve(list(range(n)), out, 6, 4, 9)
+
+
+def test_curves_of_wide_reaches(monkeypatch):
+    monkeypatch.setattr(cascade, "NEAR_NODES", 3)
+    monkeypatch.setattr(cascade, "NEAR_ROOTS", 7)
+    rng = random.Random(6)
+    for n, share in ((20, 0.05), (40, 0.1), (40, 0.5)):
+        out = random_arcs(rng, n, share)
+        assert cascade.mixed_greedy_curve(list(range(n)), out, 5, 3, 8) == plain_curve(list(range(n)), out, 5, 3, 8)
+
+
+def test_logs_of_few_and_of_many_items(spark):
+    """A signature drops no log, be it full or nearly empty."""
+    rng = random.Random(8)
+    rows = [(u, i, rng.randrange(50)) for u, n in ((0, 2000), (1, 1500), (2, 3), (3, 1), (4, 40)) for i in rng.sample(range(3000), n)]
+    arcs = [(u, v) for u in range(5) for v in range(5) if u != v]
+    at = {(u, i): t for u, i, t in rows}
+    want = {(u, v, i) for (u, i), t in at.items() for v in range(5) if 0 < at.get((v, i), t) - t <= 20}
+    found = logs.influence_logs(spark.createDataFrame(rows, "u long, i long, t long"), spark.createDataFrame(arcs, "u long, v long"), 20).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_fit_has_the_objective_of_each_sweep(spark):
+    rng = random.Random(9)
+    tr = spark.createDataFrame([(u, v, i, int(rng.random() < 0.3)) for u in range(4) for v in range(4, 8) for i in range(3)], "u long, v long, i long, y int")
+    found = air.initial(tr, 2, 1)
+    want = [air.log_posterior(tr, *found)]
+    for _ in range(2):
+        found = air.em_step(tr, *found, 2)
+        want.append(air.log_posterior(tr, *found))
+    for last, n in ((True, 3), (False, 2)):
+        A, _, _, seen = air.fit(tr, 2, 2, 1, tol=0, last=last)
+        assert seen == pytest.approx(want[:n])
+        assert {(r.u, r.z): round(r.p, 9) for r in A.collect()} == {(r.u, r.z): round(r.p, 9) for r in found[0].collect()}
+
+
 def test_global_greedy_and_marginal_gain(spark):
     w = weights(spark, [(0, 1, 0.5), (1, 2, 0.4), (5, 6, 0.9)])
     assert [(r.u, round(r.gain, 6)) for r in spread.greedy(w, 0.01, 2).orderBy("rank").collect()] == [(5, 1.9), (0, 1.7)]
